@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secrets, substring, toxicity
+from . import bpe, decontaminate, jaccard, langid, secrets, substring, toxicity
 from .common import fold, table
 
 
@@ -25,6 +25,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), keep_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op5_decontaminate": op5_decontaminate,
         "op6_substring": op6_substring,
+        "op7_jaccard": op7_jaccard,
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_langid": op10_langid,
