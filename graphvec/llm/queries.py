@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, pii, secrets, substring, toxicity
+from . import bpe, decontaminate, jaccard, langid, maxent, pii, secrets, substring, toxicity
 from .common import fold, table
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = maxent.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.identifiers(docs))
@@ -53,6 +58,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_maxent": op1_maxent,
         "op2_secrets": op2_secrets,
         "op4_pii": op4_pii,
         "op5_decontaminate": op5_decontaminate,
