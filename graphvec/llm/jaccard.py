@@ -4,10 +4,12 @@ A document's set holds its distinct n-word shingles (64-bit hashes). Equal sets
 Shingles are ordered from rare to frequent by a count sketch over the whole corpus (of fixed size; ties by hash), and only the
 prefix of a set in that order is posted. Two sets that reach the similarity share a posted shingle.
 
-Round one pairs each posted set with the smallest set under the same shingle. Round two takes, under each shingle, the sets
+Round one pairs each posted set with the most typical set under the same shingle, the one whose shingles are the most
+frequent on the whole: of near copies the one that the others were made from. Round two takes, under each shingle, the sets
 that are not yet in the shingle's largest component, against all sets of other components. Each pair under a shingle is
 thereby either in one component already or a candidate, so no link between components is lost, and a group of m near copies
-costs about m pairs, not m * m. Candidates pass the length and positional filters in the join, are made unique, pass the
+costs about m pairs, not m * m. Candidates pass the length filter and the positional filter in the join (of what stands before
+the common shingle only shingles posted by another set can be common; what stands behind counts whole), are made unique, pass the
 suffix filter and are verified once, exactly. Nothing is gathered by key in one task: hot shingles meet in ordinary joins
 and pre-aggregated sums.
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_value, discard, documents, slices, tokens_of, written
@@ -111,8 +113,9 @@ def _needed(percent: int) -> Column:
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
-    """Unique a < b of the pairs (node, n, pos, node2, n2, pos2) that pass the length and the positional filter."""
-    fits = pairs.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("pos", "pos2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= _needed(percent)))
+    """Unique a < b of the pairs (node, n, pos, r, node2, n2, pos2, r2) that pass the length and the positional filter. r: how
+    many of the `pos` shingles before are posted by another set."""
+    fits = pairs.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= _needed(percent)))
     return fits.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
@@ -167,7 +170,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in slices(batches):
-            keys, owner, place, rows = [], [], [], []
+            keys, owner, place, rows = [], [], [], []  # rows: digest, size and typicality of each set
             for s in shingle_sets(batch.column("text").to_pylist(), n):
                 if not len(s):
                     continue
@@ -177,33 +180,35 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 if len(seen) < REMEMBER:
                     seen.add(digest)
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                order = np.lexsort((s, rarity.value[_bucket(s)]))[:length]
+                common = rarity.value[_bucket(s)]
+                order = np.lexsort((s, common))[:length]
                 keys.append(s[order])
                 place.append(np.arange(length))
                 owner.append(np.full(length, len(rows)))
-                rows.append((*digest, len(s)))
+                rows.append((*digest, len(s), round(16 * float(common.mean()))))
             if not rows:
                 continue
-            d1, d2, size = (np.array(c, dtype=np.int64)[np.concatenate(owner)] for c in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1), pa.array(d2), pa.array(size.astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))], names=["key", "d1", "d2", "n", "pos"])
+            d1, d2, size, typical = (np.array(c, dtype=np.int64)[np.concatenate(owner)] for c in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1), pa.array(d2), pa.array(size.astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(typical.astype(np.int32))], names=["key", "d1", "d2", "n", "pos", "typical"])
 
-    posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, d2 long, n int, pos int"), "posted")
+    posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, d2 long, n int, pos int, typical int"), "posted")
     shared = posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    kept = written(posted.join(shared, "key").distinct().join(reps, ["d1", "d2"]).select("key", "node", "n", "pos"), "kept")
+    before = F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")) - 1
+    kept = written(posted.join(shared, "key").distinct().join(reps, ["d1", "d2"]).select("key", "node", "n", "pos", before.alias("r"), "typical"), "kept")
     discard(posted)
 
-    # round one: each set with the smallest under its shingle
-    first = kept.groupBy("key").agg(F.min(F.struct("n", "node", "pos")).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"))
+    # round one: each set with the most typical under its shingle
+    first = kept.groupBy("key").agg(F.min(F.struct(-F.col("typical"), "node", "n", "pos", "r")).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"), F.col("f.r").alias("r2"))
     pairs = written(_candidates(kept.join(first, "key").filter("node <> node2"), percent), "pairs")
     links = _verify(pairs, docs, n, percent)
     found = written(components(links), "found")
 
     # round two: what is not in its shingle's largest component, against the other components
-    labelled = written(kept.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("c")), "labelled")
+    labelled = written(kept.join(found, "node", "left").select("key", "node", "n", "pos", "r", F.coalesce("component", "node").alias("c")), "labelled")
     main = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("x.c").alias("main"))
     mixed = labelled.join(main, "key")
-    rest = mixed.filter("c <> main").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"))
+    rest = mixed.filter("c <> main").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
     crossed = mixed.join(rest, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("node") < F.col("node2"))))
     more = written(_candidates(crossed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     final = components(links.union(_verify(more, docs, n, percent)))
