@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, maxent, pii, secrets, substring, toxicity
+from . import ann, bpe, decontaminate, jaccard, langid, maxent, pii, secrets, substring, toxicity
 from .common import fold, table
 
 
@@ -22,6 +22,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, k=20)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_maxent": op1_maxent,
         "op2_secrets": op2_secrets,
+        "op3_ann": op3_ann,
         "op4_pii": op4_pii,
         "op5_decontaminate": op5_decontaminate,
         "op6_substring": op6_substring,
