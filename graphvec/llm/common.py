@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a worker: JVM buffers and the worker's copy stay small beside a task's share.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's limit of Arrow batches to BATCH_BYTES. Operators call this; only batch sizes depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """Only the columns that an operator reads; a null text becomes the empty text."""
+    small_batches(df.sparkSession)
     return df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
