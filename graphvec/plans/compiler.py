@@ -136,8 +136,7 @@ class Compiler:
             missing = [F.lit(None).cast("string" if len(kinds[p]) > 1 else next(iter(kinds[p]))).alias(f"{var}.{p}") for p in wanted if p not in t.props]
             parts.append(rows.select(F.col(t.key).cast("long").alias(f"{var}.__id"), F.lit(t.label).alias(f"{var}.__label"), marks.alias(f"{var}.__labels"), *props, *missing))
         if not parts:
-            raise_empty = self.spark.createDataFrame([], f"`{var}.__id` long, `{var}.__label` string, `{var}.__labels` array<string>")
-            return raise_empty, Binding("node", var)
+            return self.spark.createDataFrame([], f"`{var}.__id` long, `{var}.__label` string, `{var}.__labels` array<string>"), Binding("node", var)
         df = reduce(DataFrame.unionByName, parts)
         return df, Binding("node", var, tuple(t.label for t in found), tuple(wanted))
 
@@ -322,7 +321,8 @@ class Compiler:
         reached = {e.dst_label for e in self.graph.edges if not rel.types or e.relation in rel.types or "relation" in e.df.columns}
         if rel.direction != "out":
             reached |= {e.src_label for e in self.graph.edges if not rel.types or e.relation in rel.types or "relation" in e.df.columns}
-        return rows, reached & targets
+        reached &= targets
+        return rows.filter(F.col("__tl").isin(sorted(reached))), reached
 
     def trails(self, start: DataFrame, links: DataFrame, low: int, high: int) -> DataFrame:
         """A row for each path of low to high edges without a repeated edge."""
@@ -584,7 +584,7 @@ class Compiler:
             return F.filter(F.array(*[F.when(col(f"{b.name}.{p}").isNotNull(), F.lit(p)) for p in b.props]), lambda k: k.isNotNull())
         columns = [self.expr(df, env, a) for a in args]
         if name == "size" or name == "length":
-            return F.length(columns[0]) if isinstance(self.type(columns[0], df), T.StringType) else F.size(columns[0])
+            return (F.length if isinstance(self.type(columns[0], df), T.StringType) else F.size)(columns[0]).cast("long")
         if name == "round" and len(args) == 2:
             return F.round(columns[0], args[1].value)
         if name not in SCALAR:
