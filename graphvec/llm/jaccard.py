@@ -10,7 +10,8 @@ that are not yet in the shingle's largest component, against all sets of other c
 thereby either in one component already or a candidate, so no link between components is lost, and a group of m near copies
 costs about m pairs, not m * m. Candidates pass the length filter and the positional filter in the join (of what stands before
 the common shingle only shingles posted by another set can be common; what stands behind counts whole), are made unique, pass the
-suffix filter and are verified once, exactly. Nothing is gathered by key in one task: hot shingles meet in ordinary joins
+suffix filter and are verified once, exactly. The suffix filter bounds an intersection twice: by counts of the shingles in BINS classes of their hashes, which are small
+enough to send for every candidate, and, where whole sets meet, by halving. Nothing is gathered by key in one task: hot shingles meet in ordinary joins
 and pre-aggregated sums.
 
 Defined results: a set of fewer words than n is the whole sequence as one shingle; without words or text it is empty and
@@ -36,6 +37,10 @@ from .components import components
 SKETCH, SKETCH_BLOCK = 1 << 23, 1 << 16
 #: Classes of which a task remembers that it has posted them.
 REMEMBER = 500_000
+#: Hash classes whose counts stand for a set in the suffix filter.
+BINS = 64
+#: Bits of a packed posting: typicality, size of the set, place in the prefix.
+N_BITS, POS_BITS = 28, 24
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -129,13 +134,23 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:at], y[:middle], depth - 1) + same + suffix_bound(x[at + same :], y[middle + 1 :], depth - 1)
 
 
+def _bins(s: np.ndarray) -> bytes:
+    return np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype("<i4").tobytes()
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the similarity."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = shingle_sets(batch.column("text").to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([_bins(s) for s in found], pa.binary())], names=["node", "s", "bins"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, BINS).astype(np.int64) for c in ("x", "y"))
+            least = -(-percent * (x.sum(1) + y.sum(1)) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1) >= least))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +163,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = written(docs.join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, s binary"), "sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    found = written(docs.join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, s binary, bins binary"), "sets")
+    near = pairs.join(found.select(F.col("node").alias("a"), F.col("bins").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("bins").alias("y")), "b")
+    near = near.select("a", "b", "x", "y").mapInArrow(bounded, "a long, b long")
+    both = near.join(found.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     links = written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
     discard(found)
     return links
@@ -188,14 +205,18 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 rows.append((*digest, len(s), round(16 * float(common.mean()))))
             if not rows:
                 continue
-            d1, d2, size, typical = (np.array(c, dtype=np.int64)[np.concatenate(owner)] for c in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1), pa.array(d2), pa.array(size.astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(typical.astype(np.int32))], names=["key", "d1", "d2", "n", "pos", "typical"])
+            d1, _, size, typical = (np.array(c, dtype=np.int64)[np.concatenate(owner)] for c in zip(*rows))
+            packed = ((typical << N_BITS) | size) << POS_BITS | np.concatenate(place)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1), pa.array(packed)], names=["key", "d1", "packed"])
 
-    posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, d2 long, n int, pos int, typical int"), "posted")
+    # half a digest is enough here: should two classes share it, both become candidates, and candidates are verified
+    posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, packed long"), "posted")
     shared = posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     before = F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")) - 1
-    kept = written(posted.join(shared, "key").distinct().join(reps, ["d1", "d2"]).select("key", "node", "n", "pos", before.alias("r"), "typical"), "kept")
+    # sorted runs merge at every size, so the plan is the same for small inputs and large ones
+    unpacked = posted.join(shared.hint("merge"), "key").distinct().select("key", "d1", F.expr(f"shiftright(packed, {N_BITS + POS_BITS})").alias("typical"), F.expr(f"cast(shiftright(packed, {POS_BITS}) & {(1 << N_BITS) - 1} as int)").alias("n"), F.expr(f"cast(packed & {(1 << POS_BITS) - 1} as int)").alias("pos"))
+    kept = written(unpacked.join(reps, "d1").select("key", "node", "n", "pos", before.alias("r"), "typical"), "kept")
     discard(posted)
 
     # round one: each set with the most typical under its shingle
