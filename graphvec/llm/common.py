@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one worker turns into Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a worker: JVM buffers and the worker's copy stay small beside a task's share.
 BATCH_BYTES = 8 << 20
 
