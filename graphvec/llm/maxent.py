@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,6 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD else b"\t" + xxhash.xxh3_128_digest(word)
 
 
-class Ids(dict):
-    """Ranks of the known words; any other word has one of OTHERS codes behind them."""
-
-    def __missing__(self, word: bytes) -> int:
-        return KNOWN + xxhash.xxh32_intdigest(word) % OTHERS
-
-
 class Lexicon:
     """What the token counts give: known words by rank, their counts, totals."""
 
@@ -80,9 +74,10 @@ class Lexicon:
         self.log_count = np.zeros(KNOWN + OTHERS)
         self.log_count[: len(words)] = np.log10(self.counts + 1.0)
 
-    def ids(self) -> Ids:
+    def ids(self) -> dict[bytes, int]:
+        """Ranks of the known words."""
         if "_ids" not in self.__dict__:
-            self._ids = Ids(zip(self.words, range(len(self.words))))
+            self._ids = dict(zip(self.words, range(len(self.words))))
         return self._ids
 
     def __getstate__(self):
@@ -91,11 +86,17 @@ class Lexicon:
 
 def coded(lexicon: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     """Codes of the tokens of all texts, one after the other, the tokens' places in their texts, and the words."""
-    split = [[key_of(w) for w in tokens_of(t)] + [END] if len(t) > 1 << 20 or any(len(w) > LONG_WORD for w in tokens_of(t)) else tokens_of(t) + [END] for t in texts]
+    split = [tokens_of(t) for t in texts]
+    for ws in split:
+        if ws and max(map(len, ws)) > LONG_WORD:
+            ws[:] = map(key_of, ws)
+        ws.append(END)
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     total = int(lengths.sum())
-    get = lexicon.ids().__getitem__
-    codes = np.fromiter((c for ws in split for c in map(get, ws)), np.int64, total)
+    flat = list(chain.from_iterable(split))
+    codes = np.fromiter(map(lexicon.ids().get, flat, repeat(-1)), np.int64, total)
+    unknown = np.flatnonzero(codes < 0)
+    codes[unknown] = [KNOWN + xxhash.xxh32_intdigest(flat[i]) % OTHERS for i in unknown.tolist()]  # codes behind the known ones
     return codes, np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths), split
 
 
