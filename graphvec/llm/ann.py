@@ -6,9 +6,8 @@ those that have it as a neighbour) with each other: who shares a neighbour is co
 left out, and each node keeps its DEGREE best. Rounds end when few lists change. Queries walk the graph greedily: each round
 expands the EXPAND best nodes not yet expanded of each query's beam, until none is left among the BEAM best.
 
-For inner products the vectors are lifted by one coordinate, sqrt(M - |x|^2) with M the greatest squared norm, so that near
-in the graph means near in angle; with unit vectors it is 0. The graph uses one byte for each component; final scores are
-exact inner products of the original vectors in double precision.
+Near in the graph means a large inner product too, so a node's list approaches its own answer. The graph uses one byte for
+each component; final scores are exact inner products of the original vectors in double precision.
 
 Everything is a join or a sorted stream: a node's group holds at most DEGREE + REVERSE members, lists that arrive at one node
 are merged one by one, and no table comes to the driver.
@@ -69,8 +68,7 @@ def _pack_vectors(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa
         if not batch.num_rows:
             continue
         x = np.array(batch.column("x").to_pylist(), dtype=np.float64)
-        lift = np.sqrt(np.maximum(0.0, most - (x * x).sum(1)))
-        x = np.hstack([x, lift[:, None]]) / max(most, 1e-300) ** 0.5
+        x = x / max(most, 1e-300) ** 0.5
         scale = (np.abs(x).max(1) / 127).astype(np.float32)
         q = np.round(x / scale[:, None]).clip(-127, 127).astype(np.int8)
         raw = np.hstack([scale[:, None].view(np.uint8), q.view(np.uint8)])
