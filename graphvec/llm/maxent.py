@@ -58,9 +58,10 @@ class Lexicon:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, types: int):
         self.words, self.counts, self.tokens, self.types = words, counts.astype(np.int64), tokens, types
+        self.known = len(words)
         head = min(HEAD, len(words))
         self.head = head
-        self.class_of, self.member_of = np.full(KNOWN + OTHERS, TAIL, dtype=np.int64), np.zeros(KNOWN + OTHERS, dtype=np.int64)
+        self.class_of, self.member_of = np.full(self.known + OTHERS, TAIL, dtype=np.int64), np.zeros(self.known + OTHERS, dtype=np.int64)
         ranks = np.arange(head)
         self.class_of[:head], self.member_of[:head] = ranks % TAIL, ranks // TAIL
         self.tail_tokens = tokens - int(self.counts[:head].sum())
@@ -71,7 +72,7 @@ class Lexicon:
         inside = np.full((CLASSES, MEMBERS), 1e-12)
         inside[self.class_of[:head], self.member_of[:head]] = self.counts[:head]
         self.inside = inside / inside.sum(1, keepdims=True)
-        self.log_count = np.zeros(KNOWN + OTHERS)
+        self.log_count = np.zeros(self.known + OTHERS)
         self.log_count[: len(words)] = np.log10(self.counts + 1.0)
 
     def ids(self) -> dict[bytes, int]:
@@ -96,13 +97,13 @@ def coded(lexicon: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     flat = list(chain.from_iterable(split))
     codes = np.fromiter(map(lexicon.ids().get, flat, repeat(-1)), np.int64, total)
     unknown = np.flatnonzero(codes < 0)
-    codes[unknown] = [KNOWN + xxhash.xxh32_intdigest(flat[i]) % OTHERS for i in unknown.tolist()]  # codes behind the known ones
+    codes[unknown] = [lexicon.known + xxhash.xxh32_intdigest(flat[i]) % OTHERS for i in unknown.tolist()]  # codes behind the known ones
     return codes, np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths), split
 
 
 def features(codes: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Buckets of the class features and of the member features of the positions `at`."""
-    start = KNOWN + OTHERS
+    start = 1 << 40  # stands for what is before a text
     back = [np.where(place[at] >= k, codes[np.maximum(at - k, 0)], start).astype(np.uint64) for k in (1, 2, 3)]
 
     def mix(x: np.ndarray, bits: int) -> np.ndarray:
@@ -214,8 +215,8 @@ def count(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c")).filter("c > 0"), "counts")
 
 
-def lexicon_of(counts: DataFrame) -> tuple[Lexicon, int]:
-    """The lexicon, and the count from which words are known: the least one that KNOWN words or fewer reach."""
+def lexicon_of(counts: DataFrame, known: int = KNOWN) -> tuple[Lexicon, int]:
+    """The lexicon, and the count from which words are known: the least one that `known` words or fewer reach."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # counts from 1000 on are binned to about a thousandth, so the histogram is small
     binned = F.when(F.col("c") < 1000, F.col("c")).otherwise((F.lit(1000) + F.floor(F.log(F.col("c") / 1000.0) / F.log(F.lit(1.001)))).cast("long"))
@@ -223,7 +224,7 @@ def lexicon_of(counts: DataFrame) -> tuple[Lexicon, int]:
     least, seen = 1 << 62, 0
     for r in histogram:
         seen += r["n"]
-        if seen > KNOWN:
+        if seen > known:
             break
         least = min(least, r["least"])
     rows = counts.filter(F.col("c") >= least).toArrow()
@@ -296,26 +297,26 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
     return model
 
 
-def score(docs: DataFrame, training: Column) -> DataFrame:
+def score(docs: DataFrame, training: Column, known: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`; `training`, a condition on
     doc_id, marks the rows to learn from."""
     texts = documents(docs)
     learned = texts.filter(training).select("text")
     counts = count(learned)
-    lexicon, least = lexicon_of(counts)
+    lexicon, least = lexicon_of(counts, known)
     shared = broadcast_value(docs.sparkSession, train(learned, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, row_base()
         lexicon = model.lexicon
-        known, names = len(lexicon.words), ["row", "doc_id", "n_tokens", "n_known", "logs", "tail_logs", "n_tail", "shares", "rare"]
+        names = ["row", "doc_id", "n_tokens", "n_known", "logs", "tail_logs", "n_tail", "shares", "rare"]
         for batch in slices(batches):
             codes, place, split = coded(lexicon, batch.column("text").to_pylist())
             starts = np.flatnonzero(place == 0)
             log_count, tail = lexicon.log_count[codes], lexicon.class_of[codes] == TAIL
             shares = model.log10(codes, place)
             total = lambda x: np.add.reduceat(x.astype(np.float64), starts)
-            unknown = codes >= known
+            unknown = codes >= lexicon.known
             rare: list[list[bytes]] = [[] for _ in split]
             text = np.cumsum(place == 0) - 1
             for i, d in zip(np.flatnonzero(unknown).tolist(), text[unknown].tolist()):
