@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a worker: JVM buffers and the worker's copy stay small beside a task's share.
 BATCH_BYTES = 8 << 20
+#: Rows of a few numbers each up to which a table is broadcast, after they were counted.
+BROADCAST_ROWS = 500_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,6 +64,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if its counted rows are `rows` at most; beyond that Spark shuffles the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once to the shared folder and read back: lineage ends here, and a lost executor costs nothing.
 

@@ -10,8 +10,9 @@ that are not yet in the shingle's largest component, against all sets of other c
 thereby either in one component already or a candidate, so no link between components is lost, and a group of m near copies
 costs about m pairs, not m * m. Candidates pass the length filter and the positional filter in the join (of what stands before
 the common shingle only shingles posted by another set can be common; what stands behind counts whole), are made unique, pass the
-suffix filter and are verified once, exactly. The suffix filter bounds an intersection twice: by counts of the shingles in BINS classes of their hashes, which are small
-enough to send for every candidate, and, where whole sets meet, by halving. Nothing is gathered by key in one task: hot shingles meet in ordinary joins
+suffix filter and are verified once, exactly. The suffix filter bounds an intersection three times. In the join, by odd sketches: a bit for each of ODD hash classes tells
+whether a set has an odd number of shingles in it, and as many bits of two sets differ as shingles at most. Then by counts of
+the shingles in BINS classes, small enough to send for every candidate; and, where whole sets meet, by halving. Nothing is gathered by key in one task: hot shingles meet in ordinary joins
 and pre-aggregated sums.
 
 Defined results: a set of fewer words than n is the whole sequence as one shingle; without words or text it is empty and
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, discard, documents, slices, tokens_of, written
+from .common import broadcast_value, discard, documents, few, slices, tokens_of, written
 from .components import components
 
 #: Counters of the sketch, and how many of them a row carries.
@@ -39,6 +40,9 @@ SKETCH, SKETCH_BLOCK = 1 << 23, 1 << 16
 REMEMBER = 500_000
 #: Hash classes whose counts stand for a set in the suffix filter.
 BINS = 64
+#: Bits of an odd sketch, and the columns of 64 bits that hold it.
+ODD = 256
+SKETCHED = [f"o{k}" for k in range(ODD // 64)]
 #: Bits of a packed posting: typicality, size of the set, place in the prefix.
 N_BITS, POS_BITS = 28, 24
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -73,13 +77,19 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """For each of ODD hash classes whether it holds an odd number of shingles, as 64-bit integers."""
+    odd = np.bincount(((s >> np.uint64(7)) % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 23)).astype(np.int64)
 
 
 def _survey(n: int):
     """Rows of documents (block null) and, at a task's end, of its part of the sketch (doc_id null)."""
-    names = ["doc_id", "n", "d1", "d2", "block", "counts"]
+    names = ["doc_id", "n", "d1", "d2", *SKETCHED, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, dtype=np.uint16)
@@ -89,12 +99,12 @@ def _survey(n: int):
                 places, many = np.unique(_bucket(s), return_counts=True)
                 sketch[places] = np.minimum(sketch[places].astype(np.int64) + many, 60_000)
             digests = [_digest(s) for s in sets]
-            size = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
+            size, odd = len(sets), np.stack([odd_sketch(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(odd[:, k].copy()) for k in range(len(SKETCHED))], pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
         for block in range(SKETCH // SKETCH_BLOCK):
             part = sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + len(SKETCHED)), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -119,8 +129,9 @@ def _needed(percent: int) -> Column:
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Unique a < b of the pairs (node, n, pos, r, node2, n2, pos2, r2) that pass the length and the positional filter. r: how
-    many of the `pos` shingles before are posted by another set."""
-    fits = pairs.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= _needed(percent)))
+    many of the `pos` shingles before are posted by another set. o0, ... and their counterparts p0, ...: odd sketches."""
+    apart = sum((F.bit_count(F.col(o).bitwiseXOR(F.col(o.replace("o", "p")))) for o in SKETCHED), F.lit(0))
+    fits = pairs.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= _needed(percent)) & (apart <= F.col("n") + F.col("n2") - 2 * _needed(percent)))
     return fits.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
@@ -162,7 +173,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(good and len(np.intersect1d(x, y, assume_unique=True)) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # texts stay where they are read while the candidates are few
+    nodes = few(written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes"))
     found = written(docs.join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, s binary, bins binary"), "sets")
     near = pairs.join(found.select(F.col("node").alias("a"), F.col("bins").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("bins").alias("y")), "b")
     near = near.select("a", "b", "x", "y").mapInArrow(bounded, "a long, b long")
@@ -175,8 +187,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`: sets link when 100 * intersection >= percent * union."""
     spark, docs = docs.sparkSession, documents(docs)
-    survey = written(docs.mapInArrow(_survey(n), "doc_id long, n long, d1 long, d2 long, block int, counts binary"), "survey")
-    members = survey.filter("block is null").select("doc_id", "n", "d1", "d2")
+    survey = written(docs.mapInArrow(_survey(n), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{o} long' for o in SKETCHED)}, block int, counts binary"), "survey")
+    members = survey.filter("block is null").select("doc_id", "n", "d1", "d2", *SKETCHED)
     blocks = SKETCH // SKETCH_BLOCK
     level = np.zeros(SKETCH, dtype=np.uint8)
     for r in survey.filter("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_sum_blocks, "block int, level binary").toLocalIterator():
@@ -212,24 +224,24 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # half a digest is enough here: should two classes share it, both become candidates, and candidates are verified
     posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, packed long"), "posted")
     shared = posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key")
-    reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(o).alias(o) for o in SKETCHED])
     before = F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")) - 1
     # sorted runs merge at every size, so the plan is the same for small inputs and large ones
     unpacked = posted.join(shared.hint("merge"), "key").distinct().select("key", "d1", F.expr(f"shiftright(packed, {N_BITS + POS_BITS})").alias("typical"), F.expr(f"cast(shiftright(packed, {POS_BITS}) & {(1 << N_BITS) - 1} as int)").alias("n"), F.expr(f"cast(packed & {(1 << POS_BITS) - 1} as int)").alias("pos"))
-    kept = written(unpacked.join(reps, "d1").select("key", "node", "n", "pos", before.alias("r"), "typical"), "kept")
+    kept = written(unpacked.join(reps, "d1").select("key", "node", "n", "pos", before.alias("r"), "typical", *SKETCHED), "kept")
     discard(posted)
 
     # round one: each set with the most typical under its shingle
-    first = kept.groupBy("key").agg(F.min(F.struct(-F.col("typical"), "node", "n", "pos", "r")).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"), F.col("f.r").alias("r2"))
+    first = kept.groupBy("key").agg(F.min(F.struct(-F.col("typical"), "node", "n", "pos", "r", *SKETCHED)).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"), F.col("f.r").alias("r2"), *[F.col(f"f.{o}").alias(o.replace("o", "p")) for o in SKETCHED])
     pairs = written(_candidates(kept.join(first, "key").filter("node <> node2"), percent), "pairs")
     links = _verify(pairs, docs, n, percent)
     found = written(components(links), "found")
 
     # round two: what is not in its shingle's largest component, against the other components
-    labelled = written(kept.join(found, "node", "left").select("key", "node", "n", "pos", "r", F.coalesce("component", "node").alias("c")), "labelled")
+    labelled = written(kept.join(found, "node", "left").select("key", "node", "n", "pos", "r", *SKETCHED, F.coalesce("component", "node").alias("c")), "labelled")
     main = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("x.c").alias("main"))
     mixed = labelled.join(main, "key")
-    rest = mixed.filter("c <> main").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
+    rest = mixed.filter("c <> main").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"), F.col("c").alias("c2"), *[F.col(o).alias(o.replace("o", "p")) for o in SKETCHED])
     crossed = mixed.join(rest, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("node") < F.col("node2"))))
     more = written(_candidates(crossed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     final = components(links.union(_verify(more, docs, n, percent)))
@@ -241,5 +253,5 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs`, all columns, without those that are near copies of a document with a smaller id."""
-    gone = join(docs, n, percent).filter("component_id <> doc_id").select("doc_id")
+    gone = few(written(join(docs, n, percent).filter("component_id <> doc_id").select("doc_id"), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -24,12 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, few, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH, SUPPORT, DISCLOSURE, REMOVE = 80, 3, 0.97, 0.9999
-#: Rows up to which a table is broadcast.
-BROADCAST_ROWS = 100_000
 LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -86,11 +84,6 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_TERM), lambda t: F.length(t) >= LEAST_TERM)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if its rows are counted to be few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, disclosure: the terms that reveal an entity of `docs` (doc_id, text), with the greatest share."""
     found = docs.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0).select("text", F.explode("spans").alias("s"))
@@ -114,9 +107,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), more: spans of disclosing terms, with the shares, of the texts that have any."""
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    hits = marked.select("doc_id", "mark", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(_few(terms), "term")
+    hits = marked.select("doc_id", "mark", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(few(terms), "term")
     lists = written(hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms")), "hits")
-    texts = marked.join(_few(lists), ["doc_id", "mark"]).select("doc_id", "mark", "terms", "text").dropDuplicates(["doc_id", "mark"])
+    texts = marked.join(few(lists), ["doc_id", "mark"]).select("doc_id", "mark", "terms", "text").dropDuplicates(["doc_id", "mark"])
     each = texts.select("doc_id", "mark", "text", F.explode("terms").alias("t"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("t.term"), F.lit(r"(?!\p{L})"))
     both = F.arrays_zip(F.split(F.col("text"), pattern, -1).alias("gap"), F.regexp_extract_all(F.col("text"), pattern, F.lit(0)).alias("hit"))

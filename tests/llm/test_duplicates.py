@@ -72,6 +72,8 @@ def test_suffix_bound_never_too_small():
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(2))
         assert jaccard.suffix_bound(x, y) >= len(np.intersect1d(x, y))
+        odd = sum(int(v).bit_count() for v in (jaccard.odd_sketch(x) ^ jaccard.odd_sketch(y)).view(np.uint64))
+        assert odd <= len(np.setxor1d(x, y))
         assert np.minimum(np.frombuffer(jaccard._bins(x), "<i4"), np.frombuffer(jaccard._bins(y), "<i4")).sum() >= len(np.intersect1d(x, y))
 
 
