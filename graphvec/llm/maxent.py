@@ -101,6 +101,14 @@ def coded(lexicon: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     return codes, np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths), split
 
 
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the tokens of all rows, one after the other, and their places in their texts."""
+    packed = batch.column("codes").to_pylist()
+    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    codes = np.frombuffer(b"".join(packed), dtype="<i4").astype(np.int64)
+    return codes, np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def features(codes: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Buckets of the class features and of the member features of the positions `at`."""
     start = 1 << 40  # stands for what is before a text
@@ -232,15 +240,36 @@ def lexicon_of(counts: DataFrame, known: int = KNOWN) -> tuple[Lexicon, int]:
     return Lexicon([bytes(k) for k, _ in found], np.array([c for _, c in found], dtype=np.int64), totals["n"], totals["v"]), least
 
 
-def train(docs: DataFrame, lexicon: Lexicon) -> Model:
-    """Weights from the training texts of `docs`."""
-    spark, model = docs.sparkSession, Model(lexicon)
+def code_table(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """row, doc_id, learn, codes (four bytes each), rare (the words that aren't known): every text tokenised once more, for
+    all passes that follow."""
+    shared = broadcast_value(texts.sparkSession, lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = row_base()
+        for batch in slices(batches):
+            codes, place, split = coded(shared.value, batch.column("text").to_pylist())
+            packed, starts = codes.astype("<i4"), np.flatnonzero(place == 0).tolist()
+            rare: list[list[bytes]] = [[] for _ in split]
+            unknown = np.flatnonzero(codes >= shared.value.known)
+            for d, k in zip((np.searchsorted(starts, unknown, side="right") - 1).tolist(), place[unknown].tolist()):
+                rare[d].append(split[d][k])
+            n = len(split)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("learn"), pa.array([packed[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(packed)])], pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "learn", "codes", "rare"])
+            row += n
+
+    return written(texts.mapInArrow(run, "row long, doc_id long, learn boolean, codes binary, rare array<binary>"), "codes")
+
+
+def train(coded_texts: DataFrame, lexicon: Lexicon) -> Model:
+    """Weights from a table of training texts (codes)."""
+    spark, model = coded_texts.sparkSession, Model(lexicon)
     shared = broadcast_value(spark, lexicon)
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, total = shared.value, np.zeros(CLASS_SIZE + MEMBER_SIZE, dtype=np.float32)
-        for batch in slices(batches):
-            codes, place, _ = coded(lexicon, batch.column("text").to_pylist())
+        for batch in slices(batches, "codes"):
+            codes, place = unpacked(batch)
             for lo in range(0, len(codes), 1 << 18):
                 at = np.arange(lo, min(lo + (1 << 18), len(codes)))
                 wide, narrow = features(codes, place, at)
@@ -253,7 +282,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
                     total[CLASS_SIZE:] += np.bincount((f[inside] * CLASSES + classes[inside]) * MEMBERS + members, minlength=MEMBER_SIZE)
         yield from _blocks(total)
 
-    seen = _summed(docs.mapInArrow(observe, "block int, part binary"))
+    seen = _summed(coded_texts.mapInArrow(observe, "block int, part binary"))
     seen_class, seen_member = seen[:CLASS_SIZE].reshape(BUCKETS, CLASSES), seen[CLASS_SIZE:].reshape(-1, MEMBERS)
     # before any step the model expects the priors wherever a feature stands
     expected_class = seen_class.sum(1, keepdims=True) * lexicon.prior
@@ -266,8 +295,8 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
                 model = now.value
                 total = np.zeros(CLASS_SIZE + MEMBER_SIZE, dtype=np.float32)
                 by_class, by_member = total[:CLASS_SIZE].reshape(BUCKETS, CLASSES), total[CLASS_SIZE:].reshape(-1, MEMBERS)
-                for batch in slices(batches):
-                    codes, place, _ = coded(model.lexicon, batch.column("text").to_pylist())
+                for batch in slices(batches, "codes"):
+                    codes, place = unpacked(batch)
                     for lo in range(0, len(codes), CHUNK * STRIDE):
                         at = np.arange(lo, min(lo + CHUNK * STRIDE, len(codes)))
                         at = at[(place[at] * 5 + at - place[at]) % STRIDE == 0]  # other places in other texts
@@ -284,7 +313,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
                             _add_rows(by_member, f[inside] * CLASSES + classes[inside], q)
                 yield from _blocks(total)
 
-            got = _summed(docs.mapInArrow(expect, "block int, part binary"))
+            got = _summed(coded_texts.mapInArrow(expect, "block int, part binary"))
             expected_class, expected_member = got[:CLASS_SIZE].reshape(BUCKETS, CLASSES), got[CLASS_SIZE:].reshape(-1, MEMBERS)
             # every feature's expectations sum to its occurrences; that corrects what the stride lost
             expected_class = expected_class * (seen_class.sum(1, keepdims=True) / np.maximum(expected_class.sum(1, keepdims=True), 1e-9))
@@ -300,36 +329,27 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
 def score(docs: DataFrame, training: Column, known: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`; `training`, a condition on
     doc_id, marks the rows to learn from."""
-    texts = documents(docs)
-    learned = texts.filter(training).select("text")
-    counts = count(learned)
+    texts = documents(docs).withColumn("learn", F.coalesce(training, F.lit(False)))
+    counts = count(texts.filter("learn").select("text"))
     lexicon, least = lexicon_of(counts, known)
-    shared = broadcast_value(docs.sparkSession, train(learned, lexicon))
+    every = code_table(texts, lexicon)
+    shared = broadcast_value(docs.sparkSession, train(every.filter("learn").select("codes"), lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, row_base()
+        model, names = shared.value, ["row", "doc_id", "n_tokens", "n_known", "logs", "tail_logs", "n_tail", "shares"]
         lexicon = model.lexicon
-        names = ["row", "doc_id", "n_tokens", "n_known", "logs", "tail_logs", "n_tail", "shares", "rare"]
-        for batch in slices(batches):
-            codes, place, split = coded(lexicon, batch.column("text").to_pylist())
+        for batch in slices(batches, "codes"):
+            codes, place = unpacked(batch)
             starts = np.flatnonzero(place == 0)
             log_count, tail = lexicon.log_count[codes], lexicon.class_of[codes] == TAIL
-            shares = model.log10(codes, place)
             total = lambda x: np.add.reduceat(x.astype(np.float64), starts)
-            unknown = codes >= lexicon.known
-            rare: list[list[bytes]] = [[] for _ in split]
-            text = np.cumsum(place == 0) - 1
-            for i, d in zip(np.flatnonzero(unknown).tolist(), text[unknown].tolist()):
-                rare[d].append(split[d][int(place[i])])
-            n = len(split)
-            columns = [np.arange(row, row + n), None, total(np.ones(len(codes))).astype(np.int64), total(~unknown).astype(np.int64), total(log_count), total(np.where(tail, log_count, 0)), total(tail).astype(np.int64), total(shares)]
-            row += n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id") if c is None else pa.array(c) for c in columns] + [pa.array(rare, pa.list_(pa.binary()))], names=names)
+            columns = [total(np.ones(len(codes))).astype(np.int64), total(codes < lexicon.known).astype(np.int64), total(log_count), total(np.where(tail, log_count, 0)), total(tail).astype(np.int64), total(model.log10(codes, place))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *map(pa.array, columns)], names=names)
 
-    parts = written(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, tail_logs double, n_tail long, shares double, rare array<binary>"), "parts")
-    words = parts.select("row", F.explode("rare").alias("key"))
+    parts = every.select("row", "doc_id", "codes").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, tail_logs double, n_tail long, shares double")
+    words = every.select("row", F.explode("rare").alias("key"))
     found = words.join(counts.filter(F.col("c") < least), "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    joined = parts.drop("rare").join(found, "row", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("more_logs", F.coalesce("more_logs", F.lit(0.0)))
+    joined = parts.join(found, "row", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("more_logs", F.coalesce("more_logs", F.lit(0.0)))
     base = F.log10(F.lit(float(lexicon.tokens + lexicon.types + 1)))
     tail = F.log10(F.lit(float(lexicon.tail_tokens + lexicon.tail_types + 1)))
     return joined.select(
