@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,18 @@ from .runtime import table
 
 @dataclass(frozen=True)
 class NodeTable:
-    """Nodes with one main label. `key` names the id column; `labels`, if given, an array column of all labels of a row."""
+    """Nodes with one main label. `key` names the id column; `labels`, if given, an array column of all labels of a row.
+    `rows` is a DataFrame, or a function that makes it when a query first needs it."""
 
     label: str
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
     key: str = "id"
     labels: str | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.rows() if callable(self.rows) else self.rows
+
     @property
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c != self.labels]
@@ -27,13 +33,21 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """Edges of one relation (or of several, told apart by the column `relation`) between two labels; other columns are
-    properties. Columns src and dst hold the keys."""
+    """Edges of one relation (or, if that is empty, of several told apart by the column `relation`) between two labels; other
+    columns are properties. Columns src and dst hold the keys. `rows` as for nodes."""
 
     src_label: str
     relation: str
     dst_label: str
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.rows() if callable(self.rows) else self.rows
+
+    @property
+    def mixed(self) -> bool:
+        return not self.relation
 
     @property
     def props(self) -> list[str]:
@@ -89,31 +103,49 @@ def similar_edges(embeddings: DataFrame) -> DataFrame:
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The graph of the star-schema tables: nodes by table, edges by foreign key."""
-    t = {name: table(spark, sf_dir, name) for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "embeddings", "pages", "conversations", "events")}
-    nodes = {
+    """The graph of the star-schema tables: nodes by table, edges by foreign key. A table is opened when a query needs it."""
+    t = cache(lambda name: table(spark, sf_dir, name))
+    graph = PropertyGraph(spark)
+    plain = {
         "Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"),
         "Order": ("orders", "o_orderkey"), "Embedding": ("embeddings", "vec_id"), "Page": ("pages", "page_id"),
     }
-    graph = PropertyGraph(spark, {label: NodeTable(label, t[name], key) for label, (name, key) in nodes.items()})
-    graph = graph.with_node(NodeTable("Document", t["documents"].join(t["labels"], "doc_id", "left"), "doc_id"))
-    graph = graph.with_node(NodeTable("User", t["events"].select("user_id").distinct(), "user_id"))
-    turns = t["conversations"].withColumn("turn_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    for label, (name, key) in plain.items():
+        graph = graph.with_node(NodeTable(label, lambda name=name: t(name), key))
+
+    def turns() -> DataFrame:
+        return t("conversations").withColumn("turn_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+
+    def follows() -> DataFrame:
+        ids = turns().select("turn_id")
+        return ids.select(F.col("turn_id").alias("src"), (F.col("turn_id") + 1).alias("dst")).join(ids.select(F.col("turn_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+    def party() -> DataFrame:
+        vip = F.when(F.col("c_acctbal") > 5000, F.array(F.lit("Party"), F.lit("Vip"))).otherwise(F.array(F.lit("Party")))
+        return t("customer").withColumn("labels", vip)
+
+    graph = graph.with_node(NodeTable("Document", lambda: t("documents").join(t("labels"), "doc_id", "left"), "doc_id"))
+    graph = graph.with_node(NodeTable("User", lambda: t("events").select("user_id").distinct(), "user_id"))
     graph = graph.with_node(NodeTable("Turn", turns, "turn_id"))
-    party = t["customer"].withColumn("labels", F.when(F.col("c_acctbal") > 5000, F.array(F.lit("Party"), F.lit("Vip"))).otherwise(F.array(F.lit("Party"))))
     graph = graph.with_node(NodeTable("Party", party, "c_custkey", "labels"))
 
-    def edge(src: str, relation: str, dst: str, df: DataFrame, a: str, b: str, *props: str) -> None:
-        nonlocal graph
-        graph = graph.with_edge(EdgeTable(src, relation, dst, df.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"), *props)))
+    def edge(src: str, relation: str, dst: str, name: str, a: str, b: str, *props: str, distinct: bool = False) -> EdgeTable:
+        def rows() -> DataFrame:
+            found = t(name).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"), *props)
+            return found.distinct() if distinct else found
+
+        return EdgeTable(src, relation, dst, rows)
 
-    edge("Nation", "IN_REGION", "Region", t["nation"], "n_nationkey", "n_regionkey")
-    edge("Customer", "IN_NATION", "Nation", t["customer"], "c_custkey", "c_nationkey")
-    edge("Supplier", "IN_NATION", "Nation", t["supplier"], "s_suppkey", "s_nationkey")
-    edge("Customer", "PLACED", "Order", t["orders"], "o_custkey", "o_orderkey")
     line = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    edge("Order", "CONTAINS", "Part", t["lineitem"], "l_orderkey", "l_partkey", *line)
-    edge("Supplier", "SUPPLIES", "Part", t["lineitem"].select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
-    graph = graph.with_edge(EdgeTable("Embedding", "SIMILAR", "Embedding", similar_edges(t["embeddings"])))
-    follows = turns.select(F.col("turn_id").alias("src"), (F.col("turn_id") + 1).alias("dst")).join(turns.select(F.col("turn_id").alias("dst")), "dst", "left_semi")
-    return graph.with_edge(EdgeTable("Turn", "NEXT", "Turn", follows.select("src", "dst")))
+    for e in (
+        edge("Nation", "IN_REGION", "Region", "nation", "n_nationkey", "n_regionkey"),
+        edge("Customer", "IN_NATION", "Nation", "customer", "c_custkey", "c_nationkey"),
+        edge("Supplier", "IN_NATION", "Nation", "supplier", "s_suppkey", "s_nationkey"),
+        edge("Customer", "PLACED", "Order", "orders", "o_custkey", "o_orderkey"),
+        edge("Order", "CONTAINS", "Part", "lineitem", "l_orderkey", "l_partkey", *line),
+        edge("Supplier", "SUPPLIES", "Part", "lineitem", "l_suppkey", "l_partkey", distinct=True),
+        EdgeTable("Embedding", "SIMILAR", "Embedding", lambda: similar_edges(t("embeddings"))),
+        EdgeTable("Turn", "NEXT", "Turn", follows),
+    ):
+        graph = graph.with_edge(e)
+    return graph

@@ -248,7 +248,7 @@ class Compiler:
         """__f, __fl, __t, __tl and the columns of r: edges of these types from these labels to those, as the arrow says."""
         found: list[tuple[EdgeTable, bool]] = []
         for e in self.graph.edges:
-            if types and e.relation not in types and "relation" not in e.df.columns:
+            if types and e.relation not in types and not e.mixed:
                 continue
             for turned in {"out": (False,), "in": (True,), "both": (False, True)}[direction]:
                 a, b = (e.dst_label, e.src_label) if turned else (e.src_label, e.dst_label)
@@ -260,8 +260,8 @@ class Compiler:
         for e, turned in found:
             a, b = ("dst", "src") if turned else ("src", "dst")
             rows = e.df
-            kind = F.col("relation") if "relation" in e.df.columns else F.lit(e.relation)
-            if types and "relation" in e.df.columns:
+            kind = F.col("relation") if e.mixed else F.lit(e.relation)
+            if types and e.mixed:
                 rows = rows.filter(kind.isin(list(types)))
             own = [F.col("src").alias(f"{r}.__src"), F.col("dst").alias(f"{r}.__dst"), kind.alias(f"{r}.__type")] if r else []
             props = [(F.col(p) if p in e.props else F.lit(None)).cast(kinds[p]).alias(f"{r}.{p}") for p in wanted]
@@ -318,9 +318,9 @@ class Compiler:
         found = expand_levels(start, links, low, high) if self.path_mode == "bfs" else self.trails(start, links, low, high)
         depth = [F.col("depth").alias(r)] if r else []
         rows = found.select(F.col("source.i").alias("__f"), F.col("source.l").alias("__fl"), F.col("target.i").alias("__t"), F.col("target.l").alias("__tl"), *depth)
-        reached = {e.dst_label for e in self.graph.edges if not rel.types or e.relation in rel.types or "relation" in e.df.columns}
+        reached = {e.dst_label for e in self.graph.edges if not rel.types or e.relation in rel.types or e.mixed}
         if rel.direction != "out":
-            reached |= {e.src_label for e in self.graph.edges if not rel.types or e.relation in rel.types or "relation" in e.df.columns}
+            reached |= {e.src_label for e in self.graph.edges if not rel.types or e.relation in rel.types or e.mixed}
         reached &= targets
         return rows.filter(F.col("__tl").isin(sorted(reached))), reached
 
@@ -694,9 +694,9 @@ class Compiler:
                 self.stats.relationships_deleted += gone.count()
                 out = []
                 for e in self.graph.edges:
-                    kind = F.col("relation") if "relation" in e.df.columns else F.lit(e.relation)
+                    kind = F.col("relation") if e.mixed else F.lit(e.relation)
                     rows = e.df.withColumn("__type", kind)
-                    out.append(replace(e, df=rows.join(gone.withColumnRenamed("type", "__type"), ["src", "dst", "__type"], "left_anti").select(e.df.columns)))
+                    out.append(replace(e, rows=rows.join(gone.withColumnRenamed("type", "__type"), ["src", "dst", "__type"], "left_anti").select(e.df.columns)))
                 self.graph = replace(self.graph, edges=tuple(out))
                 continue
             gone = df.select(col(f"{var}.__id").alias("__id"), col(f"{var}.__label").alias("__label")).distinct()
@@ -704,7 +704,7 @@ class Compiler:
             for label in b.labels:
                 t, mine = self.graph.nodes[label], gone.filter(F.col("__label") == label)
                 rows = t.df.join(mine, F.col(t.key).cast("long") == F.col("__id"), "left_anti")
-                self.graph = self.graph.with_node(replace(t, df=rows))
+                self.graph = self.graph.with_node(replace(t, rows=rows))
                 if clause.detach:
                     out = []
                     for e in self.graph.edges:
@@ -713,7 +713,7 @@ class Compiler:
                             rows = rows.join(mine, F.col("src") == F.col("__id"), "left_anti")
                         if e.dst_label == label:
                             rows = rows.join(mine, F.col("dst") == F.col("__id"), "left_anti")
-                        out.append(replace(e, df=rows))
+                        out.append(replace(e, rows=rows))
                     self.graph = replace(self.graph, edges=tuple(out))
 
 
