@@ -127,11 +127,16 @@ def _needed(percent: int) -> Column:
     return F.expr(f"cast(({percent} * (n + n2) + {99 + percent}) div {100 + percent} as long)")
 
 
+def _near(percent: int) -> Column:
+    """Whether odd sketches (o0, ... and o02, ...) leave room for the intersection that sets of n and n2 shingles need."""
+    apart = sum((F.bit_count(F.col(o).bitwiseXOR(F.col(o + "2"))) for o in SKETCHED), F.lit(0))
+    return apart <= F.col("n") + F.col("n2") - 2 * _needed(percent)
+
+
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Unique a < b of the pairs (node, n, pos, r, node2, n2, pos2, r2) that pass the length and the positional filter. r: how
-    many of the `pos` shingles before are posted by another set. o0, ... and their counterparts p0, ...: odd sketches."""
-    apart = sum((F.bit_count(F.col(o).bitwiseXOR(F.col(o.replace("o", "p")))) for o in SKETCHED), F.lit(0))
-    fits = pairs.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= _needed(percent)) & (apart <= F.col("n") + F.col("n2") - 2 * _needed(percent)))
+    many of the `pos` shingles before are posted by another set."""
+    fits = pairs.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2")) >= _needed(percent)))
     return fits.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
@@ -224,25 +229,32 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # half a digest is enough here: should two classes share it, both become candidates, and candidates are verified
     posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, packed long"), "posted")
     shared = posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key")
-    reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(o).alias(o) for o in SKETCHED])
-    before = F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")) - 1
+    reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(o).alias(o) for o in SKETCHED])
     # sorted runs merge at every size, so the plan is the same for small inputs and large ones
-    unpacked = posted.join(shared.hint("merge"), "key").distinct().select("key", "d1", F.expr(f"shiftright(packed, {N_BITS + POS_BITS})").alias("typical"), F.expr(f"cast(shiftright(packed, {POS_BITS}) & {(1 << N_BITS) - 1} as int)").alias("n"), F.expr(f"cast(packed & {(1 << POS_BITS) - 1} as int)").alias("pos"))
-    kept = written(unpacked.join(reps, "d1").select("key", "node", "n", "pos", before.alias("r"), "typical", *SKETCHED), "kept")
+    n_of, pos_of = F.expr(f"cast(shiftright(packed, {POS_BITS}) & {(1 << N_BITS) - 1} as int)").alias("n"), F.expr(f"cast(packed & {(1 << POS_BITS) - 1} as int)").alias("pos")
+    kept = posted.join(shared.hint("merge"), "key").distinct().join(reps.select("d1", "node"), "d1")
+    before = F.row_number().over(Window.partitionBy("node").orderBy(pos_of, "key")) - 1
+    kept = written(kept.select("key", "node", "packed", before.alias("r")), "kept")
     discard(posted)
+    wide = lambda *more: ["key", "node", n_of, pos_of, "r", *more]
+    other = lambda *more: ["key", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "r", *more)]]
 
     # round one: each set with the most typical under its shingle
-    first = kept.groupBy("key").agg(F.min(F.struct(-F.col("typical"), "node", "n", "pos", "r", *SKETCHED)).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"), F.col("f.r").alias("r2"), *[F.col(f"f.{o}").alias(o.replace("o", "p")) for o in SKETCHED])
-    pairs = written(_candidates(kept.join(first, "key").filter("node <> node2"), percent), "pairs")
+    typical = F.expr(f"shiftright(packed, {N_BITS + POS_BITS})")
+    first = kept.groupBy("key").agg(F.min(F.struct((-typical).alias("t"), "node", "packed", "r")).alias("f")).select("key", "f.node", "f.packed", "f.r").select(*wide()).select(*other())
+    pairs = _candidates(kept.select(*wide()).join(first, "key").filter("node <> node2"), percent)
+    odd = reps.select("node", "n", *SKETCHED)
+    ends = odd.select(F.col("node").alias("a"), "n", *SKETCHED), odd.select(F.col("node").alias("b"), F.col("n").alias("n2"), *[F.col(o).alias(o + "2") for o in SKETCHED])
+    pairs = written(pairs.join(ends[0], "a").join(ends[1], "b").filter(_near(percent)).select("a", "b").distinct(), "pairs")
     links = _verify(pairs, docs, n, percent)
     found = written(components(links), "found")
 
     # round two: what is not in its shingle's largest component, against the other components
-    labelled = written(kept.join(found, "node", "left").select("key", "node", "n", "pos", "r", *SKETCHED, F.coalesce("component", "node").alias("c")), "labelled")
+    labelled = written(kept.join(found, "node", "left").select("key", "node", "packed", "r", F.coalesce("component", "node").alias("c")), "labelled")
     main = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("x.c").alias("main"))
-    mixed = labelled.join(main, "key")
-    rest = mixed.filter("c <> main").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"), F.col("c").alias("c2"), *[F.col(o).alias(o.replace("o", "p")) for o in SKETCHED])
-    crossed = mixed.join(rest, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("node") < F.col("node2"))))
+    mixed = labelled.join(main, "key").join(odd.drop("n"), "node").select(*wide("c", "main", *SKETCHED))
+    rest = mixed.filter("c <> main").select(*other("c", *SKETCHED))
+    crossed = mixed.join(rest, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("node") < F.col("node2"))) & _near(percent))
     more = written(_candidates(crossed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     final = components(links.union(_verify(more, docs, n, percent)))
 
