@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_value, documents, fold, slices
 
 MAX_LABELLED = 20_000
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 DISCOUNT = 1.5
 SPAN = 8
 REJECT = 0.7
