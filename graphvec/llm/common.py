@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +98,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, for workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def tokens_of(text: str) -> list[bytes]:

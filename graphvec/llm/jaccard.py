@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ from .common import broadcast_value, discard, documents, few, slices, tokens_of,
 from .components import components
 
 #: Counters of the sketch, and how many of them a row carries.
-SKETCH, SKETCH_BLOCK = 1 << 23, 1 << 16
+SKETCH_BITS = 22
+SKETCH, SKETCH_BLOCK = 1 << SKETCH_BITS, 1 << 16
 #: Classes of which a task remembers that it has posted them.
 REMEMBER = 500_000
 #: Hash classes whose counts stand for a set in the suffix filter.
@@ -84,7 +86,7 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 23)).astype(np.int64)
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _survey(n: int):
@@ -92,7 +94,7 @@ def _survey(n: int):
     names = ["doc_id", "n", "d1", "d2", *SKETCHED, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.uint16)
+        sketch = np.zeros(SKETCH, dtype=np.uint16)  # a task's counters stop at 60000, far above what order needs
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), n)
             for s in sets:
@@ -104,7 +106,7 @@ def _survey(n: int):
         for block in range(SKETCH // SKETCH_BLOCK):
             part = sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + len(SKETCHED)), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + len(SKETCHED)), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
     return run
 
@@ -116,7 +118,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
             if block not in total:
                 total[block] = np.zeros(SKETCH_BLOCK, dtype=np.uint32)
-            total[block] += np.frombuffer(counts, dtype=np.uint16)
+            total[block] += np.frombuffer(zlib.decompress(counts), dtype=np.uint16)
     for block, counts in total.items():
         level = np.minimum(255, np.round(16 * np.log2(1.0 + counts))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
