@@ -76,7 +76,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     The files go when the Python process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphvec-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back.graphvec_path = path
