@@ -36,7 +36,7 @@ from .common import broadcast_value, discard, documents, few, slices, tokens_of,
 from .components import components
 
 #: Counters of the sketch, and how many of them a row carries.
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 SKETCH, SKETCH_BLOCK = 1 << SKETCH_BITS, 1 << 16
 #: Classes of which a task remembers that it has posted them.
 REMEMBER = 500_000
@@ -94,12 +94,12 @@ def _survey(n: int):
     names = ["doc_id", "n", "d1", "d2", *SKETCHED, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.uint16)  # a task's counters stop at 60000, far above what order needs
+        sketch = np.zeros(SKETCH, dtype=np.uint8)  # a task's counters stop at 250: such shingles are frequent in any case
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), n)
             for s in sets:
                 places, many = np.unique(_bucket(s), return_counts=True)
-                sketch[places] = np.minimum(sketch[places].astype(np.int64) + many, 60_000)
+                sketch[places] = np.minimum(sketch[places] + many, 250)
             digests = [_digest(s) for s in sets]
             size, odd = len(sets), np.stack([odd_sketch(s) for s in sets])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(odd[:, k].copy()) for k in range(len(SKETCHED))], pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
@@ -118,7 +118,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
             if block not in total:
                 total[block] = np.zeros(SKETCH_BLOCK, dtype=np.uint32)
-            total[block] += np.frombuffer(zlib.decompress(counts), dtype=np.uint16)
+            total[block] += np.frombuffer(zlib.decompress(counts), dtype=np.uint8)
     for block, counts in total.items():
         level = np.minimum(255, np.round(16 * np.log2(1.0 + counts))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
@@ -234,9 +234,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(o).alias(o) for o in SKETCHED])
     # sorted runs merge at every size, so the plan is the same for small inputs and large ones
     n_of, pos_of = F.expr(f"cast(shiftright(packed, {POS_BITS}) & {(1 << N_BITS) - 1} as int)").alias("n"), F.expr(f"cast(packed & {(1 << POS_BITS) - 1} as int)").alias("pos")
-    kept = posted.join(shared.hint("merge"), "key").distinct().join(reps.select("d1", "node"), "d1")
-    before = F.row_number().over(Window.partitionBy("node").orderBy(pos_of, "key")) - 1
-    kept = written(kept.select("key", "node", "packed", before.alias("r")), "kept")
+    # one exchange by set serves the ranks, the removal of copies that several tasks posted, and the join of the sets' ids
+    before = F.dense_rank().over(Window.partitionBy("d1").orderBy(pos_of, "key")) - 1
+    kept = posted.join(shared.hint("merge"), "key").withColumn("r", before).dropDuplicates(["d1", "key", "packed"])
+    kept = written(kept.join(reps.select("d1", "node"), "d1").select("key", "node", "packed", "r"), "kept")
     discard(posted)
     wide = lambda *more: ["key", "node", n_of, pos_of, "r", *more]
     other = lambda *more: ["key", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "r", *more)]]
