@@ -267,6 +267,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs`, all columns, without those that are near copies of a document with a smaller id."""
+    """Rows of `docs`, all columns, without those that are near copies of a document with a smaller id. Rows that repeat an id
+    are one document and stay as often as they are there."""
     gone = few(written(join(docs, n, percent).filter("component_id <> doc_id").select("doc_id"), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
