@@ -1,11 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-For the toxic and the ordinary class a Kneser-Ney model counts, for each word, the distinct words it follows (so copies of
-a text add nothing), discounts the counts, and gives the mass set free to one backoff distribution that both classes share:
-a rare expression falls back to the same value in both and tells little. A span's evidence is its length-normalised
-log-likelihood ratio, the mean over its words of log P(word | toxic) - log P(word | ordinary). Evidence of a text: the
-greatest of its one-word spans, of its spans of SPAN words, and that of the whole text. A logistic curve turns these into a
-score; it is fitted on training texts, each half scored by the counts of the other half.
+"""Toxicity by class-conditional interpolated Kneser-Ney models of pairs of words.
+
+For the toxic and the ordinary class a Kneser-Ney model counts, for each pair of words, the distinct words before it, and for
+each word the distinct words it follows (so copies of a text add nothing). Counts are discounted. P(word | history, class) is
+the discounted share of the pair among those of its history, plus the mass that this history's discounts set free times
+P(word | class), which in turn gives its free mass to one backoff distribution that both classes share: a rare expression
+falls back to the same value in both and tells little. Only pairs with a count left after the discount in either class are
+in a table, and only histories of such pairs: for all others the rule gives log P(word | toxic) - log P(word | ordinary)
+exactly. A span's evidence is its length-normalised log-likelihood ratio, the mean over its words. Evidence of a text: the
+greatest of its one-word spans, of its spans of SPAN words, and that of the whole text, by P(word | class) and by
+P(word | history, class): the toxic class is the smaller one, so its histories free more mass, which blurs what single words
+tell. A logistic curve turns these six into a score; it is fitted on training texts, each half scored by the counts of the
+other half.
 
 Learning uses a bounded, documented sample: at most about MAX_LABELLED labelled rows, chosen by hash; the broadcast table
 holds at most MAX_WORDS words, those in most contexts (the rest fall back). Scoring is one map without a shuffle.
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, documents, fold, slices
+from .common import broadcast_value, discard, documents, fold, slices, written
 
 MAX_LABELLED = 20_000
 MAX_WORDS = 150_000
@@ -41,12 +46,33 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(CLEAR).split()
 
 
-def _ratios(toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray, total: tuple[float, float], kept: tuple[float, float]) -> tuple[np.ndarray, float]:
-    """log P(w | toxic) - log P(w | ordinary) for each word and for an unseen one. total: contexts in each class; kept: those
-    left after the discount."""
-    free = [max(1e-9, 1 - k / t) for k, t in zip(kept, total)]
-    p, q = (np.maximum(c - DISCOUNT, 0) / t + f * shared for c, t, f in ((toxic, total[0], free[0]), (plain, total[1], free[1])))
-    return np.log(p / q), float(np.log(free[0] / free[1]))
+def _shares(toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray, total: tuple[float, float], free: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """P(w | toxic) and P(w | ordinary) for each word. total: contexts in each class; free: the mass that the discount sets free."""
+    return tuple(np.maximum(c - DISCOUNT, 0) / t + f * shared for c, t, f in ((toxic, total[0], free[0]), (plain, total[1], free[1])))
+
+
+class Ratios:
+    """log P(w | h, toxic) - log P(w | h, ordinary). ids: places of the words in `word` (of the lowest order) and `back` (of
+    the masses that their pairs set free), whose last place stands for unseen words; codes: history * len(word) + word of
+    the pairs in `pair`, in order."""
+
+    def __init__(self, ids: dict[bytes, int], word: np.ndarray, back: np.ndarray, codes: np.ndarray, pair: np.ndarray):
+        order = np.argsort(codes)
+        # a code that no pair has stands first, so that there always is one
+        self.ids, self.word, self.back, self.codes, self.pair = ids, word, back, np.append(-1, codes[order]), np.append(0.0, pair[order])
+
+    def of(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, by the lowest order and by pairs."""
+        unseen, get = len(self.word) - 1, self.ids.get
+        at = np.fromiter([get(w, unseen) for w in ws], np.int64, len(ws))
+        before = np.append(unseen, at[:-1])[: len(at)]  # a text's first word has no pair
+        alone, code = self.word[at], before * len(self.word) + at
+        place = np.searchsorted(self.codes, code, side="right") - 1
+        return alone, np.where(self.codes[place] == code, self.pair[place], alone + self.back[before])
+
+    def evidence(self, text: str) -> tuple[float, ...]:
+        alone, paired = self.of(words(text))
+        return (*evidence(alone), *evidence(paired))
 
 
 def evidence(llr: np.ndarray) -> tuple[float, float, float]:
@@ -78,17 +104,30 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w, beta[-1] - mu @ w)
 
 
+class _Known(dict):
+    """Values by word; a word without one has the unseen word's."""
+
+    def __init__(self, values, unseen: float):
+        super().__init__(values)
+        self.unseen = unseen
+
+    def __missing__(self, word: bytes) -> float:
+        return self.unseen
+
+
 class Model:
-    def __init__(self, ratio: dict[bytes, float], unseen: float, curve: np.ndarray | None):
-        self.ratio, self.unseen, self.curve = ratio, unseen, curve
+    def __init__(self, ratios: Ratios | None, curve: np.ndarray | None):
+        self.ratios, self.curve = ratios, curve
+
+    @property
+    def ratio(self) -> dict[bytes, float]:
+        """Ratios of the lowest order by word."""
+        return _Known(((w, float(self.ratios.word[k])) for w, k in self.ratios.ids.items()), float(self.ratios.word[-1]))
 
     def scores(self, texts: list[str]) -> list[float]:
         if self.curve is None:
             return [0.0] * len(texts)
-        get, unseen, x = self.ratio.get, self.unseen, np.zeros((len(texts), 3))
-        for k, t in enumerate(texts):
-            ws = words(t)
-            x[k] = evidence(np.fromiter([get(w, unseen) for w in ws], np.float64, len(ws)))
+        x = np.array([self.ratios.evidence(t) for t in texts]).reshape(-1, 6)
         return (1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))).tolist()
 
 
@@ -105,40 +144,62 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # the sample's size is bounded, so its rows may be broadcast: texts stay where they are read
     texts = documents(docs).join(F.broadcast(_sample(labels)), "doc_id")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[bytes, int], int] = {}
-        names = ["pair", "word", "toxic", "halves"]
+        names = ["before", "history", "word", "toxic", "halves"]
 
         def emit():
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[0].rpartition(b" ")[2] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int32())], names=names)
+            parts = list(zip(*(k[0].split(b" ") for k in seen))) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in parts], pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int32())], names=names)
 
         for batch in slices(batches):
             for t, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
                 ws = words(t)
-                for pair in set(map(b" ".join, zip([b"", *ws], ws))):
-                    seen[pair, y] = seen.get((pair, y), 0) | (1 << h)
+                for triple in set(map(b" ".join, zip([b"", b"", *ws], [b"", *ws], ws))):
+                    seen[triple, y] = seen.get((triple, y), 0) | (1 << h)
             if len(seen) > 300_000:
                 yield emit()
                 seen.clear()
         yield emit()
 
-    types = texts.mapInArrow(pairs, "pair binary, word binary, toxic int, halves int").groupBy("toxic", "word", "pair").agg(F.bit_or("halves").alias("halves"))
-    by_word = types.groupBy("word").agg(*[F.sum(F.when((F.col("toxic") == y) & (F.col("halves").bitwiseAND(m) > 0), 1).otherwise(0)).alias(f"n{y}{m}") for y in (0, 1) for m in (1, 2, 3)])
+    types = texts.mapInArrow(triples, "before binary, history binary, word binary, toxic int, halves int").groupBy("toxic", "history", "word", "before").agg(F.bit_or("halves").alias("halves"))
+    kinds = [f"{y}{m}" for y in (0, 1) for m in (1, 2, 3)]
+    left = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    by_pair = written(types.groupBy("history", "word").agg(*[F.sum(F.when((F.col("toxic") == int(k[0])) & (F.col("halves").bitwiseAND(int(k[1])) > 0), 1).otherwise(0)).alias(f"c{k}") for k in kinds]), "pairs")
+    by_word = by_pair.groupBy("word").agg(*[F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"n{k}") for k in kinds])
     by_word.persist()
-    sums = by_word.agg(F.count("*").alias("v"), *[F.sum(c).alias(c) for c in by_word.columns if c != "word"], *[F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"kept_{c}") for c in by_word.columns if c != "word"]).first()
+    sums = by_word.agg(F.count("*").alias("v"), *[F.sum(c).alias(c) for c in by_word.columns if c != "word"], *[F.sum(left(c)).alias(f"kept_{c}") for c in by_word.columns if c != "word"]).first()
     kept = by_word.orderBy(F.desc(F.col("n13") * 4 + F.col("n03")), "word").limit(MAX_WORDS).toArrow()
+    # the sample's size bounds these; a half has no count left where both together have none
+    pairs = by_pair.filter(F.greatest("c03", "c13") > DISCOUNT).join(by_word, "word").toArrow()
+    histories = by_pair.groupBy("history").agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in kinds], *[F.sum(left(f"c{k}")).alias(f"kept_{k}") for k in kinds]).filter("kept_03 + kept_13 > 0").toArrow()
     by_word.unpersist()
+    discard(by_pair)
     if not sums["v"] or not sums["n03"] or not sums["n13"]:
-        return Model({}, 0.0, None)
-    names = [bytes(w) for w in kept["word"].to_pylist()]
+        return Model(None, None)
+    ids: dict[bytes, int] = {w: k for k, w in enumerate(kept["word"].to_pylist())}
+    history, follower, opened = ([ids.setdefault(w, len(ids)) for w in column.to_pylist()] for column in (pairs["history"], pairs["word"], histories["history"]))
+    history, follower, opened = (np.array(x, dtype=np.int64) for x in (history, follower, opened))
 
-    def ratio(m: int) -> tuple[dict[bytes, float], float]:
-        plain, toxic = kept[f"n0{m}"].to_numpy().astype(float), kept[f"n1{m}"].to_numpy().astype(float)
+    def ratio(m: int) -> Ratios:
         total = (max(1.0, float(sums[f"n1{m}"])), max(1.0, float(sums[f"n0{m}"])))
-        shared = (plain + toxic + 0.5) / (total[0] + total[1] + 0.5 * (sums["v"] + 1))
-        llr, unseen = _ratios(toxic, plain, shared, total, (float(sums[f"kept_n1{m}"]), float(sums[f"kept_n0{m}"])))
-        return dict(zip(names, llr.tolist())), unseen
+        free = [max(1e-9, 1 - float(sums[f"kept_n{y}{m}"]) / t) for y, t in zip((1, 0), total)]
+
+        def lowest(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            plain, toxic = table[f"n0{m}"].to_numpy().astype(float), table[f"n1{m}"].to_numpy().astype(float)
+            return _shares(toxic, plain, (plain + toxic + 0.5) / (total[0] + total[1] + 0.5 * (sums["v"] + 1)), total, free)
+
+        word, (p, q) = np.full(len(ids) + 1, np.log(free[0] / free[1])), lowest(kept)
+        word[: len(p)] = np.log(p / q)
+        back, pair = np.zeros(len(word)), np.zeros(len(pairs))
+        for y, share, sign in zip((1, 0), lowest(pairs), (1, -1)):
+            t, size = np.ones(len(word)), np.zeros(len(word))
+            t[opened] = np.maximum(1, histories[f"t{y}{m}"].to_numpy())
+            size[opened] = histories[f"kept_{y}{m}"].to_numpy()
+            mass = 1 - size / t
+            back += sign * np.log(mass)
+            pair += sign * np.log(np.maximum(pairs[f"c{y}{m}"].to_numpy() - DISCOUNT, 0) / t[history] + mass[history] * share)
+        return Ratios(ids, word, back, history * len(word) + follower, pair)
 
     whole, crossed = ratio(3), {0: ratio(2), 1: ratio(1)}  # half 0 is scored by the counts of half 1 (bit 2)
     shared = broadcast_value(docs.sparkSession, crossed)
@@ -147,17 +208,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in slices(batches):
             rows = []
             for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist()):
-                get, unseen = shared.value[h][0].get, shared.value[h][1]
-                ws = words(t)
-                rows.append(evidence(np.fromiter([get(w, unseen) for w in ws], np.float64, len(ws))))
+                rows.append(shared.value[h].evidence(t))
             x = np.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("toxic").to_pylist(), pa.int32()), *[pa.array(x[:, i]) for i in range(3)]], names=["y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("toxic").to_pylist(), pa.int32()), *[pa.array(x[:, i]) for i in range(6)]], names=["y", *"abcdef"])
 
-    found = texts.mapInArrow(measure, "y int, a double, b double, c double").toArrow()
+    found = texts.mapInArrow(measure, "y int, a double, b double, c double, d double, e double, f double").toArrow()
     shared.destroy()
-    x, y = np.stack([found[c].to_numpy() for c in "abc"], 1), found["y"].to_numpy().astype(float)
+    x, y = np.stack([found[c].to_numpy() for c in "abcdef"], 1), found["y"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
-    return Model(*whole, _curve(x[order], y[order]))
+    return Model(whole, _curve(x[order], y[order]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -100,6 +100,53 @@ def test_copies_add_no_evidence(docs, spark):
     assert model.ratio[b"vile"] > model.ratio[b"copied"]
 
 
+def test_toxicity_tells_word_order(docs, spark):
+    """An expression of words that are ordinary one by one: the same words in another order are not rejected."""
+    rng = random.Random(3)
+    plain = [f"word{i}" for i in range(60)]
+
+    def text(toxic):
+        w = [rng.choice(plain) for _ in range(40)]
+        for at in (3, 13, 23, 33):
+            w[at : at + 2] = ["stone", "head"] if toxic else ["head", "stone"]
+        return " ".join(w)
+
+    marks = [int(i % 3 == 0) for i in range(300)]
+    table = docs([text(m) for m in marks])
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(table, toxicity.learn(table, toxicity.learning_labels(labels))).collect()}
+    held = [i for i in range(300) if crc(i, 3) == 1]
+    assert np.mean([(out[i] >= toxicity.REJECT) == bool(marks[i]) for i in held]) > 0.95
+
+
+def test_toxicity_pairs_against_brute_force(docs, spark):
+    rng = random.Random(5)
+    marks = [i % 2 for i in range(40)]
+    texts = [" ".join(rng.choice("abcdefgh"[m : m + 7]) for _ in range(25)) for m in marks]
+    model = toxicity.learn(docs(texts), spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"))
+    triples = {(m, *x) for t, m in zip(texts, marks) for w in [toxicity.words(t)] for x in zip([b"", b"", *w], [b"", *w], w)}
+    pairs = Counter((m, h, w) for m, _, h, w in triples)
+    follows = Counter((m, w) for m, _, w in pairs)
+    vocabulary, d = {w for _, w in follows}, toxicity.DISCOUNT
+    total = [sum(n for (y, _), n in follows.items() if y == m) for m in (0, 1)]
+
+    def alone(w, m):
+        free = sum(min(n, d) for (y, _), n in follows.items() if y == m) / total[m]
+        return max(follows[m, w] - d, 0) / total[m] + free * (follows[0, w] + follows[1, w] + 0.5) / (sum(total) + 0.5 * (len(vocabulary) + 1))
+
+    def paired(h, w, m):
+        own = {k[2]: n for k, n in pairs.items() if k[:2] == (m, h)}
+        if not own:
+            return alone(w, m)
+        return (max(own.get(w, 0) - d, 0) + sum(min(n, d) for n in own.values()) * alone(w, m)) / sum(own.values())
+
+    for t in [*texts[:6], "a zzz b", "zzz a a", "h g f e d c b a"]:
+        ws = toxicity.words(t)
+        by_word, by_pair = model.ratios.of(ws)
+        assert by_word == pytest.approx([math.log(alone(w, 1) / alone(w, 0)) for w in ws])
+        assert by_pair == pytest.approx([math.log(paired(h, w, 1) / paired(h, w, 0)) for h, w in zip([b"", *ws], ws)])
+
+
 def test_language_identification(docs, awkward):
     rng = random.Random(2)
     syllables = {"en": ["the", "ing", "and", "her"], "de": ["sch", "ung", "ein", "ich"], "fr": ["eau", "ais", "que", "ère"], "es": ["ción", "que", "los", "ñar"]}
