@@ -8,8 +8,8 @@ word before, the pair before, and skips over one and two words.
 Training: one pass counts every training token (Spark sums); one counts, for each feature bucket, the classes and members
 that followed it; then gradient passes compare these with what the model expects. Each task adds up its part of the
 gradient, parts are summed in blocks, and the driver, which only ever holds tables of fixed size, moves the weights by the
-logarithm of one plus the preconditioned gradient, damped. Expectations are estimated from each STRIDE-th position of every
-training text (stochastic gradients); counts take all positions. Scoring looks KNOWN frequent words up in a broadcast table
+logarithm of one plus the preconditioned gradient, damped. The first step takes the priors for expectations, each later one
+what the model expects at every position of every training text. Scoring looks KNOWN frequent words up in a broadcast table
 of bounded size and joins the counts of all others by a shuffle, so no word is dropped.
 
 Words: `[^\\x20\\x09-\\x0D]+` with A-Z lowered, then one end of text. Defined results: null text counts as empty and has the
@@ -42,7 +42,7 @@ BUCKET_BITS, MEMBER_BITS = 13, 8
 BUCKETS, MEMBER_BUCKETS = 1 << BUCKET_BITS, 2 << MEMBER_BITS
 CLASS_SIZE, MEMBER_SIZE = BUCKETS * CLASSES, MEMBER_BUCKETS * CLASSES * MEMBERS
 BLOCK = 1 << 16
-EPOCHS, STRIDE, RATES, PRIOR = 2, 8, (0.45, 0.35), 4.0
+EPOCHS, RATES, PRIOR = 3, (0.45, 0.2, 0.15), 4.0
 CHUNK = 8192
 #: No word holds white space, so these can't be words.
 END = b"\n"
@@ -299,11 +299,8 @@ def train(coded_texts: DataFrame, lexicon: Lexicon) -> Model:
                 by_class, by_member = total[:CLASS_SIZE].reshape(BUCKETS, CLASSES), total[CLASS_SIZE:].reshape(-1, MEMBERS)
                 for batch in slices(batches, "codes"):
                     codes, place = unpacked(batch)
-                    for lo in range(0, len(codes), CHUNK * STRIDE):
-                        at = np.arange(lo, min(lo + CHUNK * STRIDE, len(codes)))
-                        at = at[(place[at] * 5 + at - place[at]) % STRIDE == 0]  # other places in other texts
-                        if not len(at):
-                            continue
+                    for lo in range(0, len(codes), CHUNK):
+                        at = np.arange(lo, min(lo + CHUNK, len(codes)))
                         wide, narrow = features(codes, place, at)
                         p = model.class_shares(wide)
                         for f in wide:
@@ -317,9 +314,6 @@ def train(coded_texts: DataFrame, lexicon: Lexicon) -> Model:
 
             got = _summed(coded_texts.mapInArrow(expect, "block int, part binary"))
             expected_class, expected_member = got[:CLASS_SIZE].reshape(BUCKETS, CLASSES), got[CLASS_SIZE:].reshape(-1, MEMBERS)
-            # every feature's expectations sum to its occurrences; that corrects what the stride lost
-            expected_class = expected_class * (seen_class.sum(1, keepdims=True) / np.maximum(expected_class.sum(1, keepdims=True), 1e-9))
-            expected_member = expected_member * (seen_member.sum(1, keepdims=True) / np.maximum(expected_member.sum(1, keepdims=True), 1e-9))
             now.destroy()
         for weights, obs, exp, prior in ((model.by_class, seen_class, expected_class, lexicon.prior), (model.by_member, seen_member, expected_member, np.tile(lexicon.inside, (MEMBER_BUCKETS, 1)))):
             gradient = (obs - exp) / (exp + PRIOR * prior + 1e-9)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphvec.llm import ann, langid, maxent, toxicity
-from graphvec.llm.common import fold
+from graphvec.llm.common import documents, fold
 
 
 def crc(i, n):
@@ -65,6 +65,34 @@ def test_language_model_is_a_distribution():
     assert total + tail == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_expects_every_position(docs):
+    """Weights are those of steps whose expectations take all positions, in texts of a few tokens too."""
+    texts = [f"w{i % 7} w{i * 3 % 5} w{i % 3}" for i in range(60)]
+    table = documents(docs(texts)).withColumn("learn", F.lit(True))
+    lexicon, _ = maxent.lexicon_of(maxent.count(table.select("text")))
+    model = maxent.train(maxent.code_table(table, lexicon).select("codes"), lexicon)
+    codes, place, _ = maxent.coded(lexicon, texts)
+    wanted, at = maxent.Model(lexicon), np.arange(len(codes))
+    wide, narrow = maxent.features(codes, place, at)
+    classes, members = lexicon.class_of[codes], lexicon.member_of[codes]
+    rows = [f * maxent.CLASSES + classes for f in narrow]
+
+    def added(table, places, values):
+        out = np.zeros(table.shape)
+        for f in places:
+            np.add.at(out, f, values)
+        return out
+
+    for epoch in range(maxent.EPOCHS):
+        p = wanted.class_shares(wide) if epoch else np.tile(lexicon.prior, (len(at), 1))
+        q = wanted.member_shares(narrow, classes) if epoch else lexicon.inside[classes]
+        for weights, places, true, share, prior in ((wanted.by_class, wide, np.eye(maxent.CLASSES)[classes], p, lexicon.prior), (wanted.by_member, rows, np.eye(maxent.MEMBERS)[members], q, np.tile(lexicon.inside, (maxent.MEMBER_BUCKETS, 1)))):
+            seen, expected = added(weights, places, true), added(weights, places, share)
+            gradient = (seen - expected) / (expected + maxent.PRIOR * prior + 1e-9)
+            weights += (maxent.RATES[min(epoch, len(maxent.RATES) - 1)] * np.log1p(np.maximum(gradient, -0.98))).astype(np.float32)
+    assert np.abs(model.by_class - wanted.by_class).max() < 0.01 and np.abs(model.by_member - wanted.by_member).max() < 0.01
+
+
 def test_toxicity(docs, spark, awkward):
     rng = random.Random(1)
     plain, rude = [f"word{i}" for i in range(150)], ["nasty", "awful", "vile"]
