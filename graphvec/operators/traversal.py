@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -87,21 +88,24 @@ def dfs(edges: DataFrame, start: int, max_depth: int = MAX_HOPS, max_edges: int
     return edges.sparkSession.createDataFrame(order, "node long, depth int, position int")
 
 
-def shortest_paths(edges: DataFrame, start: int, max_rounds: int = MAX_HOPS) -> DataFrame:
-    """node, cost, path: least total weight from `start` (weights not negative), by repeated relaxation until nothing improves.
-    Of paths of equal cost the smallest is kept."""
+def shortest_paths(edges: DataFrame, start: int, max_rounds: int | None = None) -> DataFrame:
+    """node, cost, path: least total weight from `start`, by repeated relaxation until nothing improves. Of paths of equal
+    cost the smallest is kept. A negative weight is an error, and so is a graph that max_rounds do not settle."""
     links = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    if not links.filter("weight < 0").isEmpty():
+        raise ValueError("shortest paths need weights that are not negative")
     best = edges.sparkSession.createDataFrame([(start, 0.0, [start])], "node long, cost double, path array<long>")
     frontier = best
-    for _ in range(max_rounds):
+    for done in itertools.count(1):
         offers = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
         # struct order: the least cost first, then the smallest path
         both = best.select("node", "cost", "path", F.lit(0).alias("fresh")).unionByName(offers.withColumn("fresh", F.lit(1)))
         chosen = checkpointed(both.groupBy("node").agg(F.min(F.struct("cost", "path", "fresh")).alias("b")).select("node", "b.cost", "b.path", "b.fresh"))
         best, frontier = chosen.drop("fresh"), chosen.filter("fresh = 1").drop("fresh")
         if frontier.isEmpty():
-            break
-    return best
+            return best
+        if max_rounds is not None and done >= max_rounds:
+            raise ValueError(f"paths still improve after {max_rounds} rounds")
 
 
 def path_weight(path: DataFrame, edges: DataFrame) -> DataFrame:

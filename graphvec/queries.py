@@ -301,6 +301,11 @@ def shortest_path(spark, sf_dir):
     return found.select("node", F.round("cost", 4).alias("cost"))
 
 
+def shortest_path_all(spark, sf_dir):
+    """As shortest_path, on the whole graph."""
+    return T.shortest_paths(_similar(spark, sf_dir), 0).select("node", F.round("cost", 4).alias("cost"))
+
+
 VECTOR_SQL = {m: f for m, f in (("cosine", "1 - list_cosine_similarity({a}, {b})"), ("euclid", "list_distance({a}, {b})"), ("dot", "-list_inner_product({a}, {b})"))}
 
 
@@ -342,6 +347,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "traverse_depth": (traverse_depth, f"WITH RECURSIVE s AS ({SIMILAR}), w(b, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN s ON src = b WHERE depth < 4) SELECT b AS target_id, min(depth)::INTEGER AS depth, min(depth)::INTEGER + 1 AS nodes FROM w WHERE b <> 0 GROUP BY b"),
     "traverse_relations": (traverse_relations, f"WITH RECURSIVE s AS (SELECT * FROM ({SIMILAR}) WHERE weight = 1), w(b, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN s ON src = b WHERE depth < 5) SELECT b AS target_id, min(depth)::INTEGER AS depth, 'strong' AS relation FROM w WHERE b <> 0 GROUP BY b"),
     "bfs_levels": (bfs_levels, f"WITH RECURSIVE s AS ({SIMILAR}), w(b, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN s ON src = b WHERE depth < 6) SELECT depth, count(*) AS n FROM (SELECT b, min(depth)::INTEGER AS depth FROM w GROUP BY b) GROUP BY depth"),
+    "shortest_path_all": (shortest_path_all, None),
     "shortest_path": (shortest_path, f"WITH RECURSIVE s AS (SELECT * FROM ({SIMILAR}) WHERE src < 200 AND dst < 200), w(b, cost, hops) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION SELECT dst, cost + weight::DOUBLE, hops + 1 FROM w JOIN s ON src = b WHERE hops < 60) SELECT b AS node, round(min(cost), 4) AS cost FROM w GROUP BY b"),
 }
 

@@ -95,3 +95,12 @@ def test_shortest_paths(spark):
     assert found == {1: (0.0, [1]), 3: (1.0, [1, 3]), 2: (2.0, [1, 3, 2]), 4: (3.0, [1, 3, 2, 4])}
     paths = spark.createDataFrame([([1, 3, 2],), ([1, 4],)], "path array<long>")
     assert {tuple(r["path"]): r["total_weight"] for r in T.path_weight(paths, edges).collect()} == {(1, 3, 2): 2.0, (1, 4): None}
+
+
+def test_shortest_paths_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1, 0.5) for i in range(103)], "src long, dst long, weight double")
+    assert {r["node"]: r["cost"] for r in T.shortest_paths(edges, 0).collect()} == {i: i / 2 for i in range(104)}
+    with pytest.raises(ValueError):
+        T.shortest_paths(edges, 0, max_rounds=3)
+    with pytest.raises(ValueError):
+        T.shortest_paths(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.5)], "src long, dst long, weight double"), 1)
