@@ -152,6 +152,21 @@ def knn_batch(spark, sf_dir):
     return _rounded(K.knn_batch(points, points.filter("id < 20").select(F.col("id").alias("query_id"), "vector"), K_NEAREST), "query_id", "id", "rank")
 
 
+def knn_batch_all(spark, sf_dir):
+    """As knn_batch, for every row whose id is divisible by 50."""
+    points = _points(spark, sf_dir)
+    return _rounded(K.knn_batch(points, points.filter("pmod(id, 50) = 0").select(F.col("id").alias("query_id"), "vector"), K_NEAREST), "query_id", "id", "rank")
+
+
+def var_len_all(hops: str):
+    """As the var_len queries, from every Embedding."""
+
+    def run(spark, sf_dir):
+        return star_graph(spark, sf_dir).cypher(f"MATCH (a:Embedding)-[:SIMILAR*{hops}]->(b:Embedding) RETURN a.vec_id AS a, b.vec_id AS b")
+
+    return run
+
+
 def unit_cosine(spark, sf_dir):
     from .functions.distance import cosine_unit
 
@@ -322,6 +337,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "knn_threshold": (knn("cosine", threshold=0.68), _knn_sql("cosine", threshold=0.68)),
     "knn_filtered": (knn("cosine", filtered=True), _knn_sql("cosine", f"WHERE e.label = {LABEL}")),
     "knn_batch": (knn_batch, f"SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {VECTOR_SQL['cosine'].format(a='e.embedding::DOUBLE[]', b='q.embedding::DOUBLE[]')}, e.vec_id)::INTEGER AS rank, round({VECTOR_SQL['cosine'].format(a='e.embedding::DOUBLE[]', b='q.embedding::DOUBLE[]')}, 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20 QUALIFY rank <= {K_NEAREST}"),
+    "knn_batch_all": (knn_batch_all, None),
+    "var_len_1_3_all": (var_len_all("1..3"), None),
+    "var_len_exact2_all": (var_len_all("2"), None),
     "unit_cosine": (unit_cosine, "SELECT e.vec_id AS id, round(1 - list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"),
     "hybrid_knn_expand": (hybrid_knn_expand, f"WITH s AS ({SIMILAR}), k AS ({_knn_sql('cosine')}) SELECT id, score, dst AS neighbour, weight::DOUBLE AS weight FROM k JOIN s ON src = id"),
     "sq8_roundtrip": (sq8_roundtrip, """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT id, v, list_min(v) AS lo, (list_max(v) - list_min(v)) / 255.0 AS s FROM e),

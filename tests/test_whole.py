@@ -3,6 +3,7 @@
 import heapq
 import os
 
+import numpy as np
 import pytest
 
 from graphvec import queries as core
@@ -31,3 +32,30 @@ def test_shortest_path_all(spark, links):
             for x, w in links.get(v, ()):
                 heapq.heappush(queue, (c + w, x))
     assert {r["node"]: r["cost"] for r in core.queries()["shortest_path_all"](spark, DATA).collect()} == cost
+
+
+def test_knn_batch_all(spark, vectors):
+    out = {}
+    for r in core.queries()["knn_batch_all"](spark, DATA).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    assert sorted(out) == sorted(v for v in vectors if v % 50 == 0)
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q, found in out.items():
+        d = 1 - x @ x[ids.index(q)]
+        assert [s for _, s in found] == pytest.approx(np.sort(d)[: core.K_NEAREST].tolist(), abs=2e-4)
+        assert [d[ids.index(i)] for i, _ in found] == pytest.approx([s for _, s in found], abs=2e-4)
+
+
+@pytest.mark.parametrize("name, least, most", [("var_len_1_3_all", 1, 3), ("var_len_exact2_all", 2, 2)])
+def test_var_len_all(spark, links, name, least, most):
+    wanted = []
+    for v in links:
+        depth, level = {v: 0}, [v]
+        for k in range(1, most + 1):
+            level = sorted({x for a in level for x, _ in links[a]} - set(depth))
+            depth |= dict.fromkeys(level, k)
+        wanted += [(v, x) for x, k in depth.items() if least <= k]
+    assert sorted((r["a"], r["b"]) for r in core.queries()[name](spark, DATA).collect()) == sorted(wanted)
+    print(name, len(wanted))
