@@ -13,7 +13,7 @@ tell. A logistic curve turns these six into a score; it is fitted on training te
 other half.
 
 Learning uses a bounded, documented sample: at most about MAX_LABELLED labelled rows, chosen by hash; the broadcast table
-holds at most MAX_WORDS words, those in most contexts (the rest fall back). Scoring is one map without a shuffle.
+holds the words with a count left after the discount (all others have the ratio of an unseen word). Scoring is one map without a shuffle.
 
 Defined results: null text counts as empty; a text without words has the evidence 0 and so a score as well; rows with null
 label teach nothing; a doc_id that is labelled twice is toxic if either says so; without both classes every score is 0;
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import broadcast_value, discard, documents, fold, slices, written
 
 MAX_LABELLED = 20_000
-MAX_WORDS = 150_000
 DISCOUNT = 1.5
 SPAN = 8
 REJECT = 0.7
@@ -169,8 +168,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     by_word = by_pair.groupBy("word").agg(*[F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"n{k}") for k in kinds])
     by_word.persist()
     sums = by_word.agg(F.count("*").alias("v"), *[F.sum(c).alias(c) for c in by_word.columns if c != "word"], *[F.sum(left(c)).alias(f"kept_{c}") for c in by_word.columns if c != "word"]).first()
-    kept = by_word.orderBy(F.desc(F.col("n13") * 4 + F.col("n03")), "word").limit(MAX_WORDS).toArrow()
-    # the sample's size bounds these; a half has no count left where both together have none
+    # the sample's size bounds these; a word whose counts are all discounted has the unseen word's ratio; a half has no count left where both together have none
+    kept = by_word.filter(F.greatest("n03", "n13") > DISCOUNT).toArrow()
     pairs = by_pair.filter(F.greatest("c03", "c13") > DISCOUNT).join(by_word, "word").toArrow()
     histories = by_pair.groupBy("history").agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in kinds], *[F.sum(left(f"c{k}")).alias(f"kept_{k}") for k in kinds]).filter("kept_03 + kept_13 > 0").toArrow()
     by_word.unpersist()

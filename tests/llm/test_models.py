@@ -175,6 +175,18 @@ def test_toxicity_pairs_against_brute_force(docs, spark):
         assert by_pair == pytest.approx([math.log(paired(h, w, 1) / paired(h, w, 0)) for h, w in zip([b"", *ws], ws)])
 
 
+def test_toxicity_table_leaves_out_unseen_ratios_only(docs, spark):
+    texts = [f"once{i} twice{i // 2} often{i % 3} rare{i}x" for i in range(30)]
+    model = toxicity.learn(docs(texts), spark.createDataFrame([(i, int(i < 16)) for i in range(30)], "doc_id long, toxic int"))
+    follows = {(int(i < 16), h, w) for i, t in enumerate(texts) for ws in [toxicity.words(t)] for h, w in zip([b"", *ws], ws)}
+    contexts = Counter((m, w) for m, _, w in follows)
+    several = {w for (_, w), n in contexts.items() if n > toxicity.DISCOUNT}
+    assert several and several <= set(model.ratio)
+    # a word beyond these is there for a pair, and has the ratio of an unseen word
+    assert b"rare3x" not in model.ratio and model.ratio[b"rare3x"] == model.ratio[b"never seen"]
+    assert all(model.ratio[w] == model.ratio[b"never seen"] for w in set(model.ratio) - several)
+
+
 def test_language_identification(docs, awkward):
     rng = random.Random(2)
     syllables = {"en": ["the", "ing", "and", "her"], "de": ["sch", "ung", "ein", "ich"], "fr": ["eau", "ais", "que", "ère"], "es": ["ción", "que", "los", "ñar"]}
