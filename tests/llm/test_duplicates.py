@@ -164,13 +164,97 @@ def test_contamination_is_complete(docs, spark, awkward):
     assert decontaminate.contaminated(docs(awkward), benchmark).count() == 0
 
 
+def test_contamination_does_not_depend_on_blocks(docs, spark, monkeypatch):
+    rng = random.Random(8)
+    stem = sentence(rng, 30)
+    items = [stem + " " + sentence(rng, 12) for _ in range(4)] + [sentence(rng, 42) for _ in range(3)]
+    texts = [sentence(rng, 20) + " " + t + " " + sentence(rng, 9) for t in items] + [stem, sentence(rng, 50)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = []
+    for most in (1, 100, 4_000_000):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
+        found.append(sorted(map(tuple, decontaminate.contaminated(docs(texts), benchmark).collect())))
+        assert {r["doc_id"] for r in decontaminate.keep_clean(docs(texts), benchmark).collect()} == {7, 8}
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == set(range(7))
+
+
 def test_multi_index_guarantees_the_radius():
-    """Whatever bits differ, up to RADIUS of them: some block is near."""
+    """Whatever bits differ, up to RADIUS of them: some block is near; of unrelated fingerprints few are."""
     rng = np.random.default_rng(1)
+    bits, per = decontaminate.BITS, decontaminate.BITS // decontaminate.BLOCKS
+    near = lambda a, b: (decontaminate.ONES[a ^ b] <= decontaminate.RADIUS // decontaminate.BLOCKS).any(-1)
     for _ in range(300):
-        a = rng.integers(0, 256, 8).astype(np.uint8)
-        flips = rng.choice(64, decontaminate.RADIUS, replace=False)
+        a = rng.integers(0, 1 << 16, decontaminate.BLOCKS).astype(np.uint16)
         b = a.copy()
-        for f in flips:
-            b[f // 8] ^= 1 << (f % 8)
-        assert any(decontaminate.NEAR[x, y] for x, y in zip(a, b))
+        for f in rng.choice(bits, decontaminate.RADIUS, replace=False):
+            b[f // per] ^= 1 << (f % per)
+        assert near(a, b)
+    x, y = (rng.integers(0, 1 << 16, (20_000, decontaminate.BLOCKS)).astype(np.uint16) for _ in range(2))
+    assert near(x, y).mean() < 0.1
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_windows_stay_within_the_radius(edits):
+    """Windows of 60 words with a similarity of 0.8 and more: the fingerprints find them."""
+    rng = random.Random(edits)
+    missed = total = 0
+    for _ in range(150):
+        item = sentence(rng, 60)
+        changed = item.split()
+        for k in rng.sample(range(60), edits):
+            changed[k] = "zz"
+        items = decontaminate.Items([(0, item)], decontaminate.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1))
+        h = decontaminate.shingles([w.encode() for w in changed])
+        if items.similarity(h, items.weights.of(h), 0) >= decontaminate.SIMILARITY:
+            total += 1
+            missed += not list(decontaminate.find(items, [" ".join(changed)]))
+    assert missed <= 0.01 * total and total > 10
+
+
+def test_removal_keeps_each_chunk_once(docs):
+    """Without the runs that aren't kept, every chunk of the corpus still stands somewhere: A, A B and A B against brute force."""
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 70) for _ in range(3))
+    texts = [a, a + " " + b, a + " " + b, c + " " + a + " " + c, b, None, "a" * 3000, "a" * 3000 + " " + c, (20, "x " + b)]
+    texts = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+    found = substring.repeats(docs(texts)).collect()
+    gone = {}
+    for r in found:
+        if not r["kept"]:
+            gone.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    before, after = set(), set()
+    for i, t in texts:
+        own, h1, h2, start, end = substring.chunks([t or ""])
+        for d, s, e in zip(zip(h1.tolist(), h2.tolist()), start.tolist(), end.tolist()):
+            before.add(d)
+            if not any(x <= s and e <= y for x, y in gone.get(i, ())):
+                after.add(d)
+    assert before == after and sum(map(len, gone.values())) >= 4
+
+
+def test_repeats_against_brute_force(docs):
+    rng = random.Random(12)
+    shared = [sentence(rng, n) for n in (20, 60, 100)]
+    texts = [" ".join([sentence(rng, rng.randrange(40)), rng.choice(shared), sentence(rng, rng.randrange(40)), rng.choice(shared)]) for _ in range(25)] + [None, ""]
+    pieces = {i: list(zip(*(x.tolist() for x in substring.chunks([t])[1:]))) for i, t in enumerate(texts) if t}
+    holders, first = {}, {}
+    for i in sorted(pieces):
+        for h1, h2, s, _ in pieces[i]:
+            holders.setdefault((h1, h2), set()).add(i)
+            first.setdefault((h1, h2), (i, s))
+    wanted = set()
+    for i, parts in pieces.items():
+        stretch = []
+        for h1, h2, s, e in [*parts, (None, None, -9, -9)]:
+            if len(holders.get((h1, h2), ())) > 1:
+                stretch.append((s, e, first[h1, h2]))
+                continue
+            if stretch and stretch[-1][1] - stretch[0][0] >= substring.LEAST_RUN:
+                run = []
+                for piece in [*stretch, None]:
+                    if run and (piece is None or (piece[2] == (i, piece[0])) != (run[-1][2] == (i, run[-1][0]))):
+                        wanted.add((i, run[0][0], run[-1][1], len(run), min(p[2][0] for p in run), run[0][2] == (i, run[0][0])))
+                        run = []
+                    run += [piece] if piece else []
+            stretch = []
+    assert {tuple(r) for r in substring.repeats(docs(texts)).collect()} == wanted and len(wanted) > 20
