@@ -48,49 +48,87 @@ def test_language_model_joins_rare_words(docs):
         assert got[i][0] == n and got[i][1] == pytest.approx(s)
 
 
-def test_language_model_is_a_distribution():
-    """Over all words and the unseen one, the shares of any history sum to 1."""
-    words = [f"w{i}".encode() for i in range(300)]
-    counts = np.arange(300, 0, -1)
-    lexicon = maxent.Lexicon(words, counts, int(counts.sum()), 300)
-    model = maxent.Model(lexicon)
-    rng = np.random.default_rng(0)
-    model.by_class += rng.normal(size=model.by_class.shape).astype(np.float32)
-    model.by_member += rng.normal(size=model.by_member.shape).astype(np.float32)
-    total = 0.0
-    for c in range(300):
-        codes, place = np.array([5, 17, c]), np.arange(3)
-        total += 10 ** model.log10(codes, place)[2]
-    tail = 10 ** model.log10(np.array([5, 17, lexicon.known + 3]), np.arange(3))[2]
-    assert total + tail == pytest.approx(1, abs=1e-4)
+def a_lexicon(words=300):
+    names = [f"w{i}".encode() for i in range(words)]
+    counts, groups = np.arange(words, 0, -1), [maxent.group_of(w) for w in names]
+    return names, counts, maxent.Lexicon(names, counts, np.bincount(groups, weights=counts, minlength=maxent.GROUPS), np.bincount(groups, minlength=maxent.GROUPS))
+
+
+def test_language_model_is_a_distribution(monkeypatch):
+    """Over all words and the unseen ones, the shares of any history sum to 1, with leaves of their own or shared."""
+    monkeypatch.setattr(maxent, "KNOWN", 300)
+    for own in (2048, 40):
+        monkeypatch.setattr(maxent, "OWN", own)
+        monkeypatch.setattr(maxent, "GROUPS", maxent.LEAVES - own)
+        names, counts, lexicon = a_lexicon()
+        model = maxent.Model(lexicon)
+        model.weights += np.random.default_rng(0).normal(size=model.weights.shape).astype(np.float32)
+
+        def share(code, count):
+            logs = model.log10(np.array([5, 17, code]), np.arange(3))[2]
+            return 10 ** (logs + (math.log10(count + 1) - lexicon.log_share[code] if lexicon.leaf_of[code] >= own else 0))
+
+        # each group has its unseen words' share as well
+        unseen = sum(share(lexicon.known + g, 0) for g in range(maxent.GROUPS))
+        alone = 0.0
+        for leaf in range(lexicon.own, own):  # leaves that no word has
+            lexicon.leaf_of[299] = leaf
+            alone += 10 ** model.log10(np.array([5, 17, 299]), np.arange(3))[2]
+        lexicon.leaf_of[299] = 299 if own > 299 else own + maxent.group_of(names[299])
+        assert sum(share(c, int(counts[c])) for c in range(300)) + unseen + alone == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_grows():
+    """Four times the tokens: twice the rows of weights."""
+    zeros = np.zeros(maxent.GROUPS)
+
+    def rows(tokens):
+        t = zeros.copy()
+        t[0] = tokens
+        return maxent.Layout(maxent.Lexicon([], zeros[:0], t, zeros).bits).rows
+
+    sizes = [rows((1 << 22) * 4**k) for k in range(4)]
+    assert [b / a for a, b in zip(sizes, sizes[1:])] == [2, 2, 2]
 
 
 def test_language_model_expects_every_position(docs):
-    """Weights are those of steps whose expectations take all positions, in texts of a few tokens too."""
+    """Weights are those of steps whose expectations take all positions, in texts of a few tokens too, position by position."""
     texts = [f"w{i % 7} w{i * 3 % 5} w{i % 3}" for i in range(60)]
     table = documents(docs(texts)).withColumn("learn", F.lit(True))
     lexicon, _ = maxent.lexicon_of(maxent.count(table.select("text")))
     model = maxent.train(maxent.code_table(table, lexicon).select("codes"), lexicon)
     codes, place, _ = maxent.coded(lexicon, texts)
-    wanted, at = maxent.Model(lexicon), np.arange(len(codes))
-    wide, narrow = maxent.features(codes, place, at)
-    classes, members = lexicon.class_of[codes], lexicon.member_of[codes]
-    rows = [f * maxent.CLASSES + classes for f in narrow]
-
-    def added(table, places, values):
-        out = np.zeros(table.shape)
-        for f in places:
-            np.add.at(out, f, values)
-        return out
-
-    for epoch in range(maxent.EPOCHS):
-        p = wanted.class_shares(wide) if epoch else np.tile(lexicon.prior, (len(at), 1))
-        q = wanted.member_shares(narrow, classes) if epoch else lexicon.inside[classes]
-        for weights, places, true, share, prior in ((wanted.by_class, wide, np.eye(maxent.CLASSES)[classes], p, lexicon.prior), (wanted.by_member, rows, np.eye(maxent.MEMBERS)[members], q, np.tile(lexicon.inside, (maxent.MEMBER_BUCKETS, 1)))):
-            seen, expected = added(weights, places, true), added(weights, places, share)
-            gradient = (seen - expected) / (expected + maxent.PRIOR * prior + 1e-9)
-            weights += (maxent.RATES[min(epoch, len(maxent.RATES) - 1)] * np.log1p(np.maximum(gradient, -0.98))).astype(np.float32)
-    assert np.abs(model.by_class - wanted.by_class).max() < 0.01 and np.abs(model.by_member - wanted.by_member).max() < 0.01
+    wanted = maxent.Model(lexicon)
+    leaves, prior = lexicon.leaf_of[codes], wanted.prior_rows().astype(float)
+    levels = wanted.layout.of(codes, place, leaves, np.arange(len(codes)))
+    for k, rate in enumerate(maxent.RATES):
+        seen, expected = np.zeros(wanted.weights.shape), np.zeros(wanted.weights.shape)
+        for level, (node, rows) in enumerate(levels):
+            for i in range(len(codes)):
+                x = np.log(lexicon.priors[level][node[i]]) + sum(wanted.weights[r[i]].astype(float) for r in rows)
+                p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+                for r in rows:
+                    seen[r[i], leaves[i] // maxent.BRANCH**level % maxent.BRANCH] += 1
+                    expected[r[i]] += p if k else lexicon.priors[level][node[i]]
+        gradient = (seen - expected) / (expected + maxent.PRIOR * prior + 1e-9)
+        wanted.weights += (rate * np.log1p(np.maximum(gradient, -0.98))).astype(np.float32)
+    assert np.abs(model.weights - wanted.weights).max() < 0.01
+
+
+def test_language_model_uses_context(docs):
+    """Words that follow each other: held-out texts are likelier than by their counts alone, rare words too."""
+    rng = random.Random(6)
+    after = {f"w{i}": [f"w{rng.randrange(3000)}" for _ in range(2)] for i in range(3000)}
+
+    def text():
+        w = [f"w{rng.randrange(3000)}"]
+        while len(w) < 60:
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(w)
+
+    out = maxent.score(docs([text() for _ in range(700)]), fold("doc_id", 7) != 2)
+    held = out.filter(fold("doc_id", 7) == 2).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] > held[1] + 0.1 * held[2]
 
 
 def test_toxicity(docs, spark, awkward):
