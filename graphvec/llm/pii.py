@@ -1,15 +1,17 @@
 """Personal data by rules, and information-theoretic sanitisation of what reveals it. DataFrame functions only.
 
-Base rules find e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct value found is a protected
-entity. Corpus co-occurrence then tells which other terms reveal one: for an entity c and a term t in the REACH characters
-around it, the pointwise mutual information log2(N * n(c,t) / (n(c) * n(t))) over the entity's information log2(N / n(c))
-is the share of the entity that the term discloses (1: the term occurs beside that entity alone). Terms of letters that
-disclose DISCLOSURE or more, seen in SUPPORT different surroundings at least (copies of a text show the same ones), become
+Base rules find e-mail addresses, IP addresses, payment cards and phone numbers. Protected entities are each distinct value
+found and each host of an address. Corpus co-occurrence then tells which other terms reveal one: for an entity c and a term t
+in the REACH characters around it, P(c | t) is estimated as (n(c,t) + n(c) / N) / (n(t) + 1), shrunk to the base rate as if one
+more t had stood elsewhere. The term discloses the share 1 + log2 P(c | t) / log2(N / n(c)) of the entity: its pointwise mutual
+information over the entity's information (1: who reads the term knows the entity). Terms of letters that disclose DISCLOSURE
+or more, seen in SUPPORT different surroundings at least (one surrounding, and its copies, is no co-occurrence), become
 spans of kind `term` wherever they stand. sanitise() puts a placeholder for each span of personal data, generalises terms
 to a placeholder, and removes those that disclose REMOVE or more.
 
-n(t) and N count the terms of every whole text. Counts are pre-aggregated before each shuffle. The table of disclosing terms
-is broadcast only if its counted rows are few enough, else it is joined by a shuffle.
+n(t) and N count the terms of every whole text. Counts are pre-aggregated before each shuffle. Base rules run once, and what
+they find is written. The table of disclosing terms is broadcast only if its counted rows are few enough, else it is joined by
+a shuffle.
 
 The patterns are written so that a failed match is never tried again from within the same run of characters and no group
 backtracks, so long runs cost linear time and no stack; they match what the plain rules match.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, few, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT, DISCLOSURE, REMOVE = 80, 3, 0.97, 0.9999
+REACH, SUPPORT, DISCLOSURE, REMOVE = 80, 2, 0.96, 0.985
 LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -84,24 +86,36 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_TERM), lambda t: F.length(t) >= LEAST_TERM)
 
 
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """term, disclosure: the terms that reveal an entity of `docs` (doc_id, text), with the greatest share."""
-    found = docs.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0).select("text", F.explode("spans").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    # the cut words at the far ends of the surroundings are dropped
-    left = F.when(start > REACH, F.regexp_replace(F.substring(F.col("text"), start - REACH + 1, F.lit(REACH)), r"^\p{L}+", "")).otherwise(F.substring(F.col("text"), F.lit(1), start))
-    right = F.regexp_replace(F.substring(F.col("text"), end + 1, F.lit(REACH)), r"(?<=.{%d})\p{L}+$" % (REACH // 2), "")
-    around = found.select(F.lower(F.substring(F.col("text"), start + 1, end - start)).alias("entity"), F.concat_ws(" | ", left, right).alias("around"))
-    around = around.groupBy("entity", "around").agg(F.count("*").alias("n"))
-    seen = written(around.select("entity", "n", F.xxhash64("around").alias("place"), F.explode(F.array_distinct(_terms(F.col("around")))).alias("term")), "around")
-    entities = around.groupBy("entity").agg(F.sum("n").alias("n_c"))
-    pairs = seen.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count_distinct("place").alias("places")).filter(F.col("places") >= SUPPORT)
+def found_in(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), base spans and `around` (entity, surroundings) of each row of `docs`, written once."""
+    text = F.col("text")
+
+    def surroundings(s: Column) -> Column:
+        # the cut words at the far ends of the surroundings are dropped
+        left = F.when(s["start"] > REACH, F.regexp_replace(F.substring(text, s["start"] - REACH + 1, F.lit(REACH)), r"^\p{L}+", "")).otherwise(F.substring(text, F.lit(1), s["start"]))
+        right = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(REACH)), r"(?<=.{%d})\p{L}+$" % (REACH // 2), "")
+        return F.struct(F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("value"), F.concat_ws(" | ", left, right).alias("around"))
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text", base_spans(text).alias("base"))
+    return written(rows.select("doc_id", "mark", "base", F.transform("base", surroundings).alias("around")), "found")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """term, disclosure: the terms that reveal an entity of `docs` (doc_id, text), with the greatest share. found: found_in(docs)."""
+    values = found.filter(F.size("base") > 0).select(F.explode("around").alias("a")).select("a.*")
+    host = F.concat(F.lit("@"), F.substring_index("value", "@", -1))
+    entities = F.when(F.contains(F.col("value"), F.lit("@")), F.array(F.col("value"), host)).otherwise(F.array("value"))
+    around = values.select(F.explode(entities).alias("entity"), "around").groupBy("entity", "around").agg(F.count("*").alias("n"))
+    seen = written(around.select("entity", "n", F.xxhash64("around").alias("place"), F.array_distinct(_terms(F.col("around"))).alias("terms")), "around")
+    sums = seen.groupBy("entity").agg(F.sum("n").alias("n_c"))
+    pairs = seen.select("entity", "n", "place", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("places")).filter(F.col("places") >= SUPPORT)
     counts = written(docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "terms")
     total = counts.agg(F.coalesce(F.sum("n_t"), F.lit(0)).alias("n")).first()["n"]
-    joined = pairs.join(counts, "term").join(entities, "entity")
+    joined = pairs.join(counts, "term").join(sums, "entity")
     n = F.lit(float(max(2, total)))
-    share = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct"))) / F.greatest(F.log2(n / F.col("n_c")), F.lit(1e-9))
-    return written(joined.select("term", F.least(share, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    likely = (F.col("n_ct") + F.col("n_c") / n) / (F.greatest("n_t", "n_ct") + 1)
+    share = 1 + F.log2(likely) / F.greatest(F.log2(n / F.col("n_c")), F.lit(1e-9))
+    return written(joined.select("term", share.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -127,8 +141,8 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame) -> DataFrame:
     """Each row's doc_id, mark and base spans, and those of disclosing terms outside of them."""
-    more = _term_spans(docs, disclosing_terms(docs))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), base_spans(F.col("text")).alias("base"))
+    rows = found_in(docs)
+    more = _term_spans(docs, disclosing_terms(docs, rows))
     same = rows["doc_id"].eqNullSafe(more["doc_id"]) & (rows["mark"] == more["mark"])
     outside = F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return rows.join(more, same, "left").select(rows["doc_id"], rows["mark"], "base", outside.alias("more"))
@@ -151,26 +165,32 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, with personal data and disclosing terms replaced in `text`; n_chars, if there, is made anew."""
+    """`docs`, all columns, with personal data and disclosing terms replaced in `text`; n_chars, if there, is made anew.
+    Columns may have any names: each row travels as one value."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    terms = disclosing_terms(plain)
-    more = _term_spans(plain, terms)
+    more = _term_spans(plain, disclosing_terms(plain, found_in(plain))).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "more")
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     piece = "array<struct<start:int,end:int,label:string>>"
-    kept = docs.select(*docs.columns, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_mark"), base_spans(F.coalesce(F.col("text"), F.lit(""))).alias("_base"))
-    rows = kept.join(more.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.col("more").alias("_more")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left")
-    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(labels, s["kind"] + 1).alias("label"))).cast(piece)
-    extra = F.transform("_more", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("label"))).cast(piece)
+    own = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row").getField("text"), F.lit(""))
+    kept = own.select("row", F.xxhash64(text).alias("mark"), base_spans(text).alias("base"))
+    rows = kept.join(more, F.col("row").getField("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left")
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(labels, s["kind"] + 1).alias("label"))).cast(piece)
+    extra = F.transform("more", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("label"))).cast(piece)
     spans = F.array_sort(F.concat(base, F.coalesce(extra, F.array().cast(piece))))
 
     def step(a: Column, s: Column) -> Column:
         # spans that overlap what is already replaced only lengthen it
-        gap = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), s["label"])).otherwise(F.lit(""))
+        gap = F.when(s["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["label"])).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["end"]).cast("int").alias("at"), F.concat(a["out"], gap).alias("out"))
 
-    clean = F.aggregate(spans, F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text") + 1)))
-    text = F.when((F.size("_base") > 0) | F.col("_more").isNotNull(), clean).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    clean = F.aggregate(spans, F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) + 1)))
+    new = F.when((F.size("base") > 0) | F.col("more").isNotNull(), clean).otherwise(F.col("row").getField("text"))
+    out = rows.select("row", new.alias("clean"))
+
+    def column(name: str, kind: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        return (F.length("clean").cast(kind) if name == "n_chars" else F.col("row").getField(name)).alias(name)
+
+    return out.select(*[column(name, kind) for name, kind in docs.dtypes])
