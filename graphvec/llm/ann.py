@@ -3,7 +3,7 @@
 Equal vectors are one node. Random projections give each node first neighbours: nodes are sorted by the signs of their
 projections and compared within blocks of BLOCK. Then each round joins every node's neighbours (and a bounded sample of
 those that have it as a neighbour) with each other: who shares a neighbour is compared, pairs of two old neighbours are
-left out, and each node keeps its DEGREE best. Rounds end when few lists change. Queries walk the graph greedily: each round
+left out, and each node keeps its DEGREE best. Lists only get better, and rounds go on until few change. Queries walk the graph greedily: each round
 expands the EXPAND best nodes not yet expanded of each query's beam, until none is left among the BEAM best.
 
 Near in the graph means a large inner product too, so a node's list approaches its own answer. The graph uses one byte for
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 DEGREE, REVERSE, OFFERS, BLOCK, TABLES, BITS = 48, 24, 10, 256, 2, 16
-ROUNDS, SETTLED = 12, 0.01
-BEAM, EXPAND, STEPS, PIVOTS = 96, 16, 12, 256
+SETTLED = 0.01
+BEAM, EXPAND, PIVOTS = 96, 16, 256
 FLUSH = 1_500_000
 GRAPH = "v long, vec binary, ids binary, s binary, new binary"
 
@@ -251,7 +251,7 @@ def build(nodes: DataFrame) -> DataFrame:
         offers = near if offers is None else offers.unionByName(near)
     none = F.lit(b"").cast("binary")
     graph = _merged(packed.select("v", "vec", none.alias("ids"), none.alias("s")), offers, "graph")
-    for _ in range(ROUNDS):
+    while True:
         entries = graph.select("v", "ids", "new").mapInArrow(_edges, "u long, w long, fresh boolean")
         turned = entries.select(F.col("w").alias("u"), F.col("u").alias("w"), "fresh")
         # fresh ones first, then any, in an order that differs for each node
@@ -265,8 +265,7 @@ def build(nodes: DataFrame) -> DataFrame:
         discard(was)
         _release(spark)
         if (moved[0] or 0) <= SETTLED * DEGREE * moved[1]:
-            break
-    return graph
+            return graph
 
 
 # -- searching ---------------------------------------------------------------------------------------------------------
@@ -311,30 +310,39 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(graph: DataFrame, queries: DataFrame) -> DataFrame:
     """q, w: the beam of nodes that a greedy walk finds for each of `queries` (q, vec, u; u an entry node, or null).
 
-    Each walk also starts from PIVOTS nodes, those of the smallest hashes (a bounded broadcast)."""
+    Each walk also starts from PIVOTS nodes, those of the smallest hashes: their vectors are broadcast and scored where the
+    queries lie. Walks go on until every beam is expanded; each step expands nodes that weren't, so they end."""
     spark = graph.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     state = "q long, vec binary, ids binary, s binary, done binary, open binary"
     vectors = graph.select(F.col("v").alias("w"), "vec")
     none = F.lit(b"").cast("binary")
-    pivots = graph.select(F.col("v").alias("w"), "vec").orderBy(F.xxhash64("v")).limit(PIVOTS)
-    own = queries.select("q", "vec", none.alias("ids"), none.alias("s"), none.alias("done"), F.lit(None).cast("long").alias("w"))
+    pivots = graph.select("v", "vec").orderBy(F.xxhash64("v")).limit(PIVOTS).toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast((pivots["v"].to_numpy(), _matrix(pivots["vec"].combine_chunks())))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = (_matrix(batch.column("vec")) @ x.T).astype(np.float32)
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :BEAM]
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("vec"), pa.array(_packed(ids[order], np.int64), pa.binary()), pa.array(_packed(np.take_along_axis(s, order, 1), np.float32), pa.binary()), pa.array([bytes(order.shape[1])] * m, pa.binary())], names=["q", "vec", "ids", "s", "done"])
+
+    own = queries.select("q", "vec").mapInArrow(begin, "q long, vec binary, ids binary, s binary, done binary")
 
     def step(beams: DataFrame, met: DataFrame) -> DataFrame:
         rows = beams.select("q", "vec", "ids", "s", "done", F.lit(None).cast("long").alias("w")).unionByName(met.select("q", "vec", none.alias("ids"), none.alias("s"), none.alias("done"), "w"))
         return written(rows.repartition(n, "q").sortWithinPartitions("q", F.asc_nulls_first("w")).mapInArrow(_walk, state), "beams")
 
-    # a stated query set against a bounded set of pivots
-    start = queries.select("q").join(F.broadcast(pivots)).select("q", "w", "vec")
     entry = queries.filter(F.col("u").isNotNull()).select("q", F.col("u").alias("w")).join(vectors, "w").select("q", "w", "vec")
-    beams = step(own, start.unionByName(entry))
-    for _ in range(STEPS):
+    beams = step(own, entry)
+    while not beams.filter(F.octet_length("open") > 0).isEmpty():
         frontier = beams.select("q", "open").mapInArrow(_opened, "q long, u long")
         lists = frontier.join(graph.select(F.col("v").alias("u"), "ids"), "u").select("q", "ids").mapInArrow(_list, "q long, w long").distinct()
         was, beams = beams, step(beams, lists.join(vectors, "w").select("q", "w", "vec"))
         discard(was)
-        if beams.filter(F.octet_length("open") > 0).isEmpty():
-            break
     return beams.select("q", "ids").mapInArrow(_list, "q long, w long")
 
 

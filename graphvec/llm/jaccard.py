@@ -1,7 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 A document's set holds its distinct n-word shingles (64-bit hashes). Equal sets are one class, so copies are never paired.
-Shingles are ordered from rare to frequent by a count sketch over the whole corpus (of fixed size; ties by hash), and only the
+Shingles are ordered from rare to frequent by a count sketch over the whole corpus (ties by hash), which has about a counter
+for every shingle (sized by the counted bytes of text; LEAST_BITS to MOST_BITS), and only the
 prefix of a set in that order is posted. Two sets that reach the similarity share a posted shingle.
 
 Round one pairs each posted set with the most typical set under the same shingle, the one whose shingles are the most
@@ -23,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_value, discard, documents, few, slices, tokens_of, written
 from .components import components
 
-#: Counters of the sketch, and how many of them a row carries.
-SKETCH_BITS = 24
-SKETCH, SKETCH_BLOCK = 1 << SKETCH_BITS, 1 << 16
+#: Bits of the sketch's number of counters, bytes of text to a counter, and how many counters a row carries. MOST_BITS bounds
+#: what a worker holds; beyond it rare shingles are told apart less well, which costs candidates and loses none.
+LEAST_BITS, MOST_BITS, BYTES_A_COUNTER = 20, 26, 8
+SKETCH_BLOCK = 1 << 16
 #: Classes of which a task remembers that it has posted them.
 REMEMBER = 500_000
 #: Hash classes whose counts stand for a set in the suffix filter.
@@ -45,8 +48,9 @@ BINS = 64
 #: Bits of an odd sketch, and the columns of 64 bits that hold it.
 ODD = 256
 SKETCHED = [f"o{k}" for k in range(ODD // 64)]
-#: Bits of a packed posting: typicality, size of the set, place in the prefix.
+#: Bits of a packed posting: typicality (what is left, but for the sign), size of the set, place in the prefix.
 N_BITS, POS_BITS = 28, 24
+MOST_TYPICAL = (1 << 63 - N_BITS - POS_BITS) - 1
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -85,25 +89,36 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _survey(n: int):
+def sketch_bits(docs: DataFrame) -> int:
+    """For about one counter a shingle: counted, as texts have about BYTES_A_COUNTER bytes for each."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size) / BYTES_A_COUNTER))))
+
+
+def typicality(common: np.ndarray) -> int:
+    """How frequent a set's shingles (given by their levels, 0 to 255) are on the whole, in the bits that a posting has for it."""
+    return min(MOST_TYPICAL, round(8 * float(common.mean())))
+
+
+def _survey(n: int, bits: int):
     """Rows of documents (block null) and, at a task's end, of its part of the sketch (doc_id null)."""
     names = ["doc_id", "n", "d1", "d2", *SKETCHED, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.uint8)  # a task's counters stop at 250: such shingles are frequent in any case
+        sketch = np.zeros(1 << bits, dtype=np.uint8)  # a task's counters stop at 250: such shingles are frequent in any case
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), n)
             for s in sets:
-                places, many = np.unique(_bucket(s), return_counts=True)
+                places, many = np.unique(_bucket(s, bits), return_counts=True)
                 sketch[places] = np.minimum(sketch[places] + many, 250)
             digests = [_digest(s) for s in sets]
             size, odd = len(sets), np.stack([odd_sketch(s) for s in sets])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(odd[:, k].copy()) for k in range(len(SKETCHED))], pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
-        for block in range(SKETCH // SKETCH_BLOCK):
+        for block in range((1 << bits) // SKETCH_BLOCK):
             part = sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + len(SKETCHED)), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
@@ -194,14 +209,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`: sets link when 100 * intersection >= percent * union."""
     spark, docs = docs.sparkSession, documents(docs)
-    survey = written(docs.mapInArrow(_survey(n), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{o} long' for o in SKETCHED)}, block int, counts binary"), "survey")
+    bits = sketch_bits(docs)
+    survey = written(docs.mapInArrow(_survey(n, bits), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{o} long' for o in SKETCHED)}, block int, counts binary"), "survey")
     members = survey.filter("block is null").select("doc_id", "n", "d1", "d2", *SKETCHED)
-    blocks = SKETCH // SKETCH_BLOCK
-    level = np.zeros(SKETCH, dtype=np.uint8)
+    level = np.zeros(1 << bits, dtype=np.uint8)
     for r in survey.filter("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_sum_blocks, "block int, level binary").toLocalIterator():
         level[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["level"], dtype=np.uint8)
-    assert blocks * SKETCH_BLOCK == SKETCH
-    rarity = broadcast_value(spark, level)  # SKETCH bytes, whatever the corpus
+    rarity = broadcast_value(spark, level)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -216,12 +230,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 if len(seen) < REMEMBER:
                     seen.add(digest)
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                common = rarity.value[_bucket(s)]
+                common = rarity.value[_bucket(s, bits)]
                 order = np.lexsort((s, common))[:length]
                 keys.append(s[order])
                 place.append(np.arange(length))
                 owner.append(np.full(length, len(rows)))
-                rows.append((*digest, len(s), round(16 * float(common.mean()))))
+                rows.append((*digest, len(s), typicality(common)))
             if not rows:
                 continue
             d1, _, size, typical = (np.array(c, dtype=np.int64)[np.concatenate(owner)] for c in zip(*rows))
