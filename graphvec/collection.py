@@ -13,6 +13,7 @@ from .model import (
     EDGES, MAX_BATCH_QUERIES, MAX_EF, MAX_POINTS_PER_UPSERT, MAX_SCROLL, MAX_TRAVERSE_DEPTH, MAX_TRAVERSE_RELATIONS, POINTS, CollectionConfig,
 )
 from .operators import knn as K
+from .operators.index import InvertedLists
 from .operators.traversal import traverse
 from .runtime import BROADCAST_ROWS
 
@@ -114,7 +115,17 @@ class Collection:
         shown = [c for c, wanted in (("payload", with_payload), ("vector", with_vector)) if wanted]
         return K.knn(self.points.filter(F.size("vector") > 0), vector, limit, self.config.distance.value, where=self._filter(where), score_threshold=score_threshold, columns=shown)
 
-    query = search
+    def query(self, query: Sequence[float] | Mapping, limit: int = 10, **options) -> DataFrame:
+        """As search, for a vector or {"nearest": a vector, or the id of a point, which is not among the results}."""
+        target = query["nearest"] if isinstance(query, Mapping) else query
+        if not isinstance(target, int):
+            return self.search(target, limit, **options)
+        row = self.get_point(target).select("vector").first()
+        if row is None or row["vector"] is None:
+            raise KeyError(f"point {target} does not exist or has no vector")
+        other = F.col("id") != target
+        where = self._filter(options.pop("where", None))
+        return self.search([float(x) for x in row["vector"]], limit, where=other if where is None else other & where, **options)
 
     def search_batch(self, queries: Iterable[Mapping], limit: int = 10) -> DataFrame:
         """query_id (its place), id, score, rank for each of {"vector", "limit", "score_threshold"}."""
@@ -126,8 +137,8 @@ class Collection:
         asked = self.spark.createDataFrame(rows, "query_id long, vector array<double>, limit int, score_threshold double")
         return K.knn_batch(self.points, asked, limit, self.config.distance.value)
 
-    def index(self, lists: int = 64) -> K.InvertedLists:
-        return K.InvertedLists.build(self.points, lists, self.config.distance.value)
+    def index(self, lists: int = 64, parts: int | None = None) -> InvertedLists:
+        return InvertedLists.build(self.points, lists, self.config.distance.value, parts=parts)
 
     def _check(self, vector: Sequence[float], ef: int | None) -> None:
         if len(vector) != self.config.size:
@@ -150,12 +161,12 @@ class Collection:
 
     # -- writing -----------------------------------------------------------------------------------------------------------
     def upsert(self, points: DataFrame, drop_edges: bool = False) -> Upserted:
-        """Points replace those of the same id; of several with one id the last by the column `seq`, if there is one, stays.
-        Edges are kept unless drop_edges."""
+        """Points replace those of the same id; of several with one id the last by the column `seq` stays or, without one, the
+        greatest as JSON text, whatever the partitions. Edges are kept unless drop_edges."""
         wrong = points.filter(F.size("vector") != self.config.size).limit(1).count()
         if wrong:
             raise ValueError(f"a vector has not {self.config.size} components")
-        new = latest(points, "id", "seq") if "seq" in points.columns else points.dropDuplicates(["id"])
+        new = latest(points if "seq" in points.columns else points.withColumn("seq", F.to_json(F.struct("*"))), "id", "seq")
         new = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in POINTS])
         updated = new.join(self.points.select("id"), "id", "left_semi").count()
         total = new.count()
@@ -181,11 +192,11 @@ class Collection:
 
     def add_edges(self, edges: DataFrame) -> Collection:
         """Edges whose ends exist and that aren't there yet are added; of equal (src, dst, relation) the first by the column
-        `seq`, if there is one, wins."""
+        `seq` or, without one, the heaviest wins."""
         new = edges.select("src", "dst", "relation", *(["weight"] if "weight" in edges.columns else []), *(["seq"] if "seq" in edges.columns else []))
         if "weight" not in new.columns:
             new = new.withColumn("weight", F.lit(1.0))
-        new = latest(new, ["src", "dst", "relation"], "seq", first=True) if "seq" in new.columns else new.dropDuplicates(["src", "dst", "relation"])
+        new = latest(new if "seq" in new.columns else new.withColumn("seq", -F.col("weight")), ["src", "dst", "relation"], "seq", first=True)
         ids = self.points.select("id")
         new = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(self.edges, ["src", "dst", "relation"], "left_anti")
         return replace(self, edges=self.edges.unionByName(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EDGES])))

@@ -1,20 +1,20 @@
-"""Nearest-neighbour search: exact, filtered, thresholded, batched; and inverted lists for approximate search."""
+"""Nearest-neighbour search: exact, filtered, thresholded and batched; k-means for what is built on it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.distance import distance
 from ..model import Distance
 
-#: Queries that are broadcast at a time; training vectors for each inverted list.
-QUERY_BLOCK, TRAIN_PER_LIST = 1024, 64
+#: Queries that a batch of points is multiplied with at a time; bytes of query vectors that are broadcast for one scan.
+QUERY_BLOCK, QUERY_BYTES = 1024, 64 << 20
 
 
 def knn(points: DataFrame, query: Sequence[float], k: int, metric: Distance | str = "cosine", *, where: Column | None = None, score_threshold: float | None = None, id_column: str = "id", vector_column: str = "vector", columns: Sequence[str] = ()) -> DataFrame:
@@ -46,129 +46,108 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(good), size), good
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of candidates the `most` of least score each, ties by id, best first."""
+    order = np.lexsort((ids, scores), axis=1)[:, :most]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _nearest(ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _best for one list of ids, whose scores are columns of `scores`; a partition first leaves few to sort."""
+    if len(ids) > 4 * most:
+        edge = np.partition(scores, most - 1, axis=0)[most - 1]
+        near = scores <= edge
+        if near.sum(0).max() == most:  # no ties beyond the edge
+            rows = np.nonzero(near.T)[1].reshape(-1, most)
+            return _best(ids[rows], np.take_along_axis(scores.T, rows, 1), most)
+    return _best(np.broadcast_to(ids, scores.T.shape), scores.T, most)
+
+
 def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Distance | str = "cosine", *, where: Column | None = None, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
     """query_id, id, score, rank for each row of `queries` (query_id, vector [, limit, score_threshold]).
 
-    Queries are taken in blocks of QUERY_BLOCK, each broadcast; a task multiplies its points with them and passes on k rows
-    for each query, so the shuffle carries k * queries rows a task, never points * queries."""
+    Points are read once for QUERY_BYTES of query vectors, which are broadcast; a task multiplies each batch of points with
+    QUERY_BLOCK queries at a time and passes on k rows for each query, so the shuffle carries k * queries rows a task, never
+    points * queries. Query ids must differ."""
     metric, spark = Distance.parse(getattr(metric, "value", metric)), points.sparkSession
     rows = (points if where is None else points.filter(where)).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     extra = [c for c in ("limit", "score_threshold") if c in queries.columns]
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *extra)
     parts: list[DataFrame] = []
-    block: list = []
 
-    def search(block: list) -> DataFrame:
-        most = max([k, *[r["limit"] or k for r in block if "limit" in extra]])
+    def search(held: list) -> DataFrame:
+        most = max([k, *[r["limit"] or k for r in held if "limit" in extra]])
         by_size: dict[int, list] = {}
-        for r in block:
+        for r in held:
             by_size.setdefault(len(r["vector"] or ()), []).append(r)
-        shared = spark.sparkContext.broadcast({d: (np.array([r["query_id"] for r in rs]), np.array([r["vector"] for r in rs])) for d, rs in by_size.items() if d})
+        blocks = [(d, rs[i : i + QUERY_BLOCK]) for d, rs in by_size.items() if d for i in range(0, len(rs), QUERY_BLOCK)]
+        shared = spark.sparkContext.broadcast([(d, np.array([r["query_id"] for r in rs]), np.array([r["vector"] for r in rs])) for d, rs in blocks])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(shared.value)
             for batch in batches:
-                for d, (names, vectors) in shared.value.items():
-                    x, good = _matrix(batch.column("vector"), d)
-                    if not len(good):
-                        continue
-                    ids, scores = batch.column("id").to_numpy()[good], numpy_distances(x, vectors, metric)
-                    for j, name in enumerate(names.tolist()):
-                        have = best.get(name)
-                        i, s = (ids, scores[:, j]) if have is None else (np.concatenate([have[0], ids]), np.concatenate([have[1], scores[:, j]]))
-                        if len(i) > most:
-                            edge = np.partition(s, most - 1)[most - 1]
-                            near = np.flatnonzero(s <= edge)
-                            near = near[np.lexsort((i[near], s[near]))[:most]]
-                            i, s = i[near], s[near]
-                        best[name] = (i, s)
-            for name, (i, s) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), name), pa.int64()), pa.array(i, pa.int64()), pa.array(s)], names=["query_id", "id", "score"])
+                found = {d: _matrix(batch.column("vector"), d) for d in {d for d, *_ in shared.value}}
+                for j, (d, _, vectors) in enumerate(shared.value):
+                    x, good = found[d]
+                    if len(good):
+                        new = _nearest(batch.column("id").to_numpy()[good], numpy_distances(x, vectors, metric), most)
+                        best[j] = new if best[j] is None else _best(*(np.hstack(z) for z in zip(best[j], new)), most)
+            for held, (_, names, _) in zip(best, shared.value):
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, held[0].shape[1]), pa.int64()), pa.array(held[0].ravel(), pa.int64()), pa.array(held[1].ravel())], names=["query_id", "id", "score"])
 
         found = rows.mapInArrow(run, "query_id long, id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
         found = found.withColumn("rank", rank)
         if extra:
-            limits = spark.createDataFrame([(r["query_id"], r["limit"] if "limit" in extra else None, float(r["score_threshold"]) if "score_threshold" in extra and r["score_threshold"] is not None else None) for r in block], "query_id long, most int, least double")
+            limits = spark.createDataFrame([(r["query_id"], r["limit"] if "limit" in extra else None, float(r["score_threshold"]) if "score_threshold" in extra and r["score_threshold"] is not None else None) for r in held], "query_id long, most int, least double")
             found = found.join(F.broadcast(limits), "query_id").filter((F.col("rank") <= F.coalesce("most", F.lit(k))) & (F.col("least").isNull() | (F.col("score") <= F.col("least")))).drop("most", "least")
         else:
             found = found.filter(F.col("rank") <= k)
         return found
 
+    held, size = [], 0
     for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(search(block))
-            block = []
-    if block:
-        parts.append(search(block))
+        held.append(r)
+        size += 8 * len(r["vector"] or ())
+        if size >= QUERY_BYTES:
+            parts.append(search(held))
+            held, size = [], 0
+    if held:
+        parts.append(search(held))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-# -- inverted lists ----------------------------------------------------------------------------------------------------
-def lloyd(x: np.ndarray, k: int, rounds: int = 25, tolerance: float = 1e-6) -> np.ndarray:
-    """k-means with evenly spaced rows as first centres; an empty centre takes the vector of its own index."""
-    k = min(k, len(x))
-    centres = x[(np.arange(k) * len(x)) // max(1, k)].copy()
-    before = np.inf
+    return reduce(DataFrame.unionByName, parts)
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 40, weigh=None) -> np.ndarray:
+    """Centres of at most k clusters. Seeds are drawn far from each other (k-means++, fixed seed); a centre that loses all its
+    vectors moves to the vector that is farthest from its own centre. weigh: distances of vectors to centres, squared
+    Euclidean ones if not given."""
+    rng, k = np.random.default_rng(17), min(k, len(x))
+    squares = (x * x).sum(1)
+    weigh = weigh or (lambda v, c: np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1) - 2 * v @ c.T, 0))
+    chosen, least = [int(rng.integers(len(x)))] if k else [], np.full(len(x), np.inf)
+    while len(chosen) < k:
+        c = x[chosen[-1]]
+        least = np.minimum(least, np.maximum(squares + c @ c - 2 * x @ c, 0))
+        least[chosen] = 0
+        total = least.sum()
+        rest = np.setdiff1d(np.arange(len(x)), chosen)
+        chosen.append(int(rng.choice(len(x), p=least / total)) if total > 0 else int(rest[0]))
+    centres = x[chosen].copy()
+    own = None
     for _ in range(rounds):
-        d = ((x[:, None, :] - centres[None]) ** 2).sum(2) if len(x) * k * x.shape[1] < 2e7 else numpy_distances(x, centres, Distance.EUCLID) ** 2
-        nearest = d.argmin(1)
-        for j in range(k):
-            mine = x[nearest == j]
-            centres[j] = mine.mean(0) if len(mine) else x[j % len(x)]
-        now = d.min(1).sum()
-        if before - now <= tolerance * before:
+        d = weigh(x, centres)
+        now = d.argmin(1)
+        if own is not None and (now == own).all():
             break
-        before = now
+        own = now
+        sizes = np.bincount(own, minlength=k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+        far = np.argsort(-d[np.arange(len(x)), own], kind="stable")
+        for place, j in enumerate(np.flatnonzero(sizes == 0).tolist()):
+            centres[j] = x[far[place]]
     return centres
-
-
-class InvertedLists:
-    """Approximate search: points are assigned to the nearest of `lists` centres, a query looks at its `probes` nearest lists.
-
-    Centres are fitted on a bounded sample of lists * TRAIN_PER_LIST vectors (smallest id hashes); every point is indexed."""
-
-    def __init__(self, centres: np.ndarray, assigned: DataFrame, metric: Distance):
-        self.centres, self.assigned, self.metric = centres, assigned, metric
-
-    @classmethod
-    def build(cls, points: DataFrame, lists: int, metric: Distance | str = "cosine", id_column: str = "id", vector_column: str = "vector") -> InvertedLists:
-        metric = Distance.parse(getattr(metric, "value", metric))
-        rows = points.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).filter(F.size("vector") > 0)
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(lists * TRAIN_PER_LIST).collect()
-        x = np.array([r["vector"] for r in sample]) if sample else np.zeros((1, 1))
-        unit = metric is Distance.COSINE
-        if unit:
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        centres = lloyd(x, lists)
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, good = _matrix(batch.column("vector"), centres.shape[1])
-                if unit:
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                nearest = numpy_distances(x, centres, Distance.EUCLID).argmin(1) if len(good) else np.zeros(0, dtype=np.int64)
-                kept = batch.take(pa.array(good))
-                yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("vector"), pa.array(nearest.astype(np.int32))], names=["id", "vector", "list"])
-
-        return cls(centres, rows.mapInArrow(assign, "id long, vector array<double>, list int"), metric)
-
-    def search(self, query: Sequence[float], k: int, probes: int = 8, score_threshold: float | None = None) -> DataFrame:
-        q = np.asarray(query, dtype=np.float64)
-        if self.metric is Distance.COSINE:
-            q = q / max(np.linalg.norm(q), 1e-12)
-        near = numpy_distances(self.centres, q[None], Distance.EUCLID)[:, 0].argsort()[:probes].tolist()
-        return knn(self.assigned, query, k, self.metric, where=F.col("list").isin(near), score_threshold=score_threshold)
-
-    def write(self, path: str) -> None:
-        """Partitioned by list, so a search reads the lists that it probes only."""
-        self.assigned.write.mode("overwrite").partitionBy("list").parquet(path)
-
-    def sizes(self) -> DataFrame:
-        return self.assigned.groupBy("list").agg(F.count("*").alias("n"))

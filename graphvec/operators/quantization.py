@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import distance, vector
 from ..model import Distance
-from .knn import _matrix, knn, lloyd
+from .knn import _matrix, kmeans, knn
 
 #: Fixed values of the codebooks: centroids at most, rounds, weight of the part along the vector.
 MAX_CENTROIDS, ROUNDS, ANISOTROPIC_WEIGHT = 256, 25, 0.2
@@ -52,21 +52,31 @@ def anisotropic(x: np.ndarray, centres: np.ndarray, weight: float = ANISOTROPIC_
     return (1 + weight) * along + np.maximum((error**2).sum(2) - along, 0)
 
 
+def _anisotropic_blocks(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """As anisotropic(), a block of vectors at a time."""
+    step = max(1, (1 << 22) // max(1, centres.size))
+    return np.concatenate([anisotropic(x[i : i + step], centres) for i in range(0, len(x), step)])
+
+
 class ProductQuantizer:
-    """`parts` codebooks of at most 256 centroids, fitted on the TRAIN_ROWS vectors of smallest ids."""
+    """`parts` codebooks of at most 256 centroids, fitted on a bounded sample of TRAIN_ROWS vectors (smallest id hashes).
+    In training a vector belongs to the centroid of the least anisotropic error; codes name the nearest one."""
 
     def __init__(self, books: list[np.ndarray], size: int):
         self.books, self.size = books, size
 
     @classmethod
     def train(cls, points: DataFrame, parts: int, centroids: int = MAX_CENTROIDS, id_column: str = "id", vector_column: str = "vector") -> ProductQuantizer:
-        rows = points.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter(F.size("v") > 0).orderBy("id").limit(TRAIN_ROWS).collect()
+        rows = points.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter(F.size("v") > 0).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).collect()
         if not rows:
             raise ValueError("no vectors to train on")
-        x = np.array([r["v"] for r in rows])
+        return cls.fit(np.array([r["v"] for r in rows]), parts, centroids)
+
+    @classmethod
+    def fit(cls, x: np.ndarray, parts: int, centroids: int = MAX_CENTROIDS) -> ProductQuantizer:
         if x.shape[1] % parts or not 1 <= centroids <= MAX_CENTROIDS:
             raise ValueError("the vector size must be a multiple of parts, and centroids at most 256")
-        return cls([lloyd(s, centroids, ROUNDS) for s in np.split(x, parts, axis=1)], x.shape[1])
+        return cls([kmeans(s, centroids, ROUNDS, _anisotropic_blocks) for s in np.split(x, parts, axis=1)], x.shape[1])
 
     @property
     def compression_ratio(self) -> float:

@@ -10,24 +10,21 @@ from pyspark.sql import functions as F
 
 from ..runtime import checkpointed
 
-MAX_HOPS = 100
 
-
-def expand_levels(sources: DataFrame, edges: DataFrame, min_hops: int, max_hops: int, with_path: bool = False) -> DataFrame:
+def expand_levels(sources: DataFrame, edges: DataFrame, min_hops: int, max_hops: int | None, with_path: bool = False) -> DataFrame:
     """source, target, depth (and path, relation, weight of the last edge): each node that is reachable from a source,
     once, at its least depth, never the source itself.
 
     `sources` has a column `source`, `edges` has src and dst. The state is one row for each source and reached node; each
-    level is checkpointed, and the loop ends with an empty frontier. Ties between edges that reach a node at one depth go to
+    level is checkpointed, and the loop ends with an empty frontier or, if it is given, at max_hops. Ties between edges that reach a node at one depth go to
     the smallest path."""
-    max_hops = min(max_hops, MAX_HOPS)
     keep = [c for c in ("relation", "weight") if c in edges.columns] if with_path else []
     links = edges.select("src", "dst", *keep).filter("src <> dst")
     if not with_path:
         links = links.distinct()
     frontier = sources.select("source").distinct().select("source", F.col("source").alias("node"), *([F.array("source").alias("path")] if with_path else []))
     reached: DataFrame | None = None
-    for depth in range(1, max_hops + 1):
+    for depth in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         met = frontier.join(links, frontier["node"] == links["src"]).filter("dst <> source")
         if with_path:
             met = met.select("source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), *keep)
@@ -38,7 +35,7 @@ def expand_levels(sources: DataFrame, edges: DataFrame, min_hops: int, max_hops:
         if reached is not None:
             met = met.join(reached.select("source", "node"), ["source", "node"], "left_anti")
         level = met.withColumn("depth", F.lit(depth))
-        if depth < max_hops:
+        if max_hops is None or depth < max_hops:
             level = checkpointed(level)
             if level.isEmpty():
                 break
@@ -60,19 +57,21 @@ def traverse(edges: DataFrame, start: int, max_depth: int, relations: Sequence[s
     return found.select(F.col("target").alias("target_id"), "depth", "path", "relation", "weight")
 
 
-def bfs(edges: DataFrame, start: int, max_depth: int = MAX_HOPS) -> DataFrame:
+def bfs(edges: DataFrame, start: int, max_depth: int | None = None) -> DataFrame:
     """node, depth of each node reached, the start with depth 0 included."""
     sources = edges.sparkSession.createDataFrame([(start,)], "source long")
     found = expand_levels(sources, edges, 1, max_depth).select(F.col("target").alias("node"), "depth")
     return sources.select(F.col("source").alias("node"), F.lit(0).alias("depth")).unionByName(found)
 
 
-def dfs(edges: DataFrame, start: int, max_depth: int = MAX_HOPS, max_edges: int = 1_000_000) -> DataFrame:
-    """node, depth, position in pre-order. Depth first is sequential by nature: the edges come to the driver, so this is for
-    small graphs, and more than max_edges edges are an error. A node counts as visited when it is pushed."""
-    rows = edges.select("src", "dst").orderBy("src", "dst").limit(max_edges + 1).collect()
+def dfs(edges: DataFrame, start: int, max_depth: int | None = None, max_edges: int = 1_000_000) -> DataFrame:
+    """node, depth, position in pre-order. Depth first is sequential by nature, so what can be reached from `start` comes to
+    the driver: only those edges, found breadth first by joins, and more than max_edges of them are an error. A node counts
+    as visited when it is pushed."""
+    near = bfs(edges, start, None if max_depth is None else max(0, max_depth - 1)).select(F.col("node").alias("src"))
+    rows = edges.select("src", "dst").join(near, "src", "left_semi").orderBy("src", "dst").limit(max_edges + 1).collect()
     if len(rows) > max_edges:
-        raise ValueError(f"depth-first order is for graphs of at most {max_edges} edges")
+        raise ValueError(f"depth-first order is for parts of at most {max_edges} edges")
     out: dict[int, list[int]] = {}
     for r in rows:
         out.setdefault(r["src"], []).append(r["dst"])
@@ -80,7 +79,7 @@ def dfs(edges: DataFrame, start: int, max_depth: int = MAX_HOPS, max_edges: int
     while stack:
         node, depth = stack.pop()
         order.append((node, depth, len(order)))
-        if depth < max_depth:
+        if max_depth is None or depth < max_depth:
             for n in reversed(out.get(node, ())):
                 if n not in seen:
                     seen.add(n)

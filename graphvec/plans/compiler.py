@@ -22,6 +22,7 @@ from ..functions.distance import cosine
 from ..functions.registry import AGGREGATE, SCALAR
 from ..graph import EdgeTable, NodeTable, PropertyGraph
 from ..operators.traversal import expand_levels
+from ..runtime import checkpointed
 from .syntax import (
     MAX_PARAMETERS, Binary, Call, Case, Create, CypherError, Delete, Exists, Index, ListOf, Literal, MapOf, Match, NodePattern, Param, Pattern, Projection, Prop, RelPattern, SetProps, Star, Unary, Unwind, Var, parse, walk,
 )
@@ -82,6 +83,7 @@ class Compiler:
         if path_mode not in ("bfs", "trail"):
             raise CypherError(f"unknown path mode {path_mode!r}")
         self.graph, self.params, self.compat, self.path_mode = graph, params, compat, path_mode
+        self.stored: dict[str, DataFrame] = {}
         self.spark = graph.spark
         self.plan: list[str] = []
         self.fresh = 0
@@ -244,8 +246,9 @@ class Compiler:
             df = df.filter(self.truth(self.expr(df, env, Binary("=", Prop(Var(var), name), value)), df))
         return df
 
-    def edge_rows(self, types, direction: str, sources, targets, r: str | None) -> tuple[DataFrame, tuple[str, ...], set[str]]:
-        """__f, __fl, __t, __tl and the columns of r: edges of these types from these labels to those, as the arrow says."""
+    def edge_rows(self, types, direction: str, sources, targets, r: str | None, numbered: bool = False) -> tuple[DataFrame, tuple[str, ...], set[str]]:
+        """__f, __fl, __t, __tl and the columns of r: edges of these types from these labels to those, as the arrow says.
+        numbered: and __e, which tells edges apart, parallel ones too, and is the same whichever way an edge is turned."""
         found: list[tuple[EdgeTable, bool]] = []
         for e in self.graph.edges:
             if types and e.relation not in types and not e.mixed:
@@ -259,19 +262,27 @@ class Compiler:
         parts = []
         for e, turned in found:
             a, b = ("dst", "src") if turned else ("src", "dst")
-            rows = e.df
+            rows = self.numbered_edges(e) if numbered else e.df
             kind = F.col("relation") if e.mixed else F.lit(e.relation)
             if types and e.mixed:
                 rows = rows.filter(kind.isin(list(types)))
             own = [F.col("src").alias(f"{r}.__src"), F.col("dst").alias(f"{r}.__dst"), kind.alias(f"{r}.__type")] if r else []
             props = [(F.col(p) if p in e.props else F.lit(None)).cast(kinds[p]).alias(f"{r}.{p}") for p in wanted]
             ends = (e.dst_label, e.src_label) if turned else (e.src_label, e.dst_label)
-            parts.append(rows.select(F.col(a).alias("__f"), F.lit(ends[0]).alias("__fl"), F.col(b).alias("__t"), F.lit(ends[1]).alias("__tl"), *own, *props))
+            parts.append(rows.select(F.col(a).alias("__f"), F.lit(ends[0]).alias("__fl"), F.col(b).alias("__t"), F.lit(ends[1]).alias("__tl"), *own, *props, *(["__e"] if numbered else [])))
         if not parts:
             own = f", `{r}.__src` long, `{r}.__dst` long, `{r}.__type` string" if r else ""
-            return self.spark.createDataFrame([], f"__f long, __fl string, __t long, __tl string{own}"), (), set()
+            return self.spark.createDataFrame([], f"__f long, __fl string, __t long, __tl string{own}{', __e string' if numbered else ''}"), (), set()
         return reduce(DataFrame.unionByName, parts), tuple(wanted), {(e.src_label if turned else e.dst_label) for e, turned in found}
 
+    def numbered_edges(self, e: EdgeTable) -> DataFrame:
+        """The edges of a table with a number each, stored once so that a number stays with its edge."""
+        place = str(next(i for i, x in enumerate(self.graph.edges) if x is e))
+        if place not in self.stored:
+            rows = e.df.select("src", "dst", *(["relation"] if e.mixed else []))
+            self.stored[place] = checkpointed(rows.withColumn("__e", F.concat_ws(":", F.lit(place), F.monotonically_increasing_id().cast("string"))))
+        return self.stored[place]
+
     def expand(self, df, env, source: str, rel: RelPattern, node: NodePattern):
         sources = set(env[source].labels)
         bound = env.get(node.var)
@@ -310,9 +321,9 @@ class Compiler:
     def steps(self, df, env, source, rel: RelPattern, sources, targets, r):
         """__f, __fl, __t, __tl (and the depth as r) of a variable-length step."""
         every = set(self.graph.nodes)
-        edges, _, _ = self.edge_rows(rel.types, rel.direction, every, every, None)
+        edges, _, _ = self.edge_rows(rel.types, rel.direction, every, every, None, numbered=self.path_mode != "bfs")
         key = lambda i, l: F.struct(F.col(l).alias("l"), F.col(i).cast("long").alias("i"))
-        links = edges.select(key("__f", "__fl").alias("src"), key("__t", "__tl").alias("dst"))
+        links = edges.select(key("__f", "__fl").alias("src"), key("__t", "__tl").alias("dst"), *(["__e"] if "__e" in edges.columns else []))
         start = df.select(F.struct(col(f"{source}.__label").alias("l"), col(f"{source}.__id").alias("i")).alias("source")).distinct()
         low, high = rel.hops
         found = expand_levels(start, links, low, high) if self.path_mode == "bfs" else self.trails(start, links, low, high)
@@ -325,16 +336,20 @@ class Compiler:
         return rows.filter(F.col("__tl").isin(sorted(reached))), reached
 
     def trails(self, start: DataFrame, links: DataFrame, low: int, high: int) -> DataFrame:
-        """A row for each path of low to high edges without a repeated edge."""
-        now = start.select("source", F.col("source").alias("node"), F.array().cast("array<bigint>").alias("edges"))
-        numbered = links.distinct().withColumn("edge", F.xxhash64("src", "dst"))
+        """A row for each path of low to high edges without a repeated edge; a loop is one edge, whichever way it is taken."""
+        now = start.select("source", F.col("source").alias("node"), F.array().cast("array<string>").alias("edges"))
+        links = links.distinct()
         out = None
         for depth in range(1, high + 1):
-            now = now.join(numbered, F.col("node") == F.col("src")).filter(~F.array_contains("edges", F.col("edge"))).select("source", F.col("dst").alias("node"), F.array_append("edges", F.col("edge")).alias("edges"))
+            now = now.join(links, F.col("node") == F.col("src")).filter(~F.array_contains("edges", F.col("__e"))).select("source", F.col("dst").alias("node"), F.array_append("edges", F.col("__e")).alias("edges"))
+            if depth < high:
+                now = checkpointed(now)
+                if now.isEmpty():
+                    break
             if depth >= low:
                 level = now.select("source", F.col("node").alias("target"), F.lit(depth).alias("depth"))
                 out = level if out is None else out.unionByName(level)
-        return out
+        return now.select("source", F.col("node").alias("target"), F.lit(0).alias("depth")) if out is None else out
 
     # -- UNWIND and projections --------------------------------------------------------------------------------------------
     def unwind(self, df, env, clause: Unwind):

@@ -8,7 +8,7 @@ from graphvec.model import CollectionConfig, Distance, IndexConfig
 from graphvec.sources import documents
 from graphvec.sources.payload import value
 from graphvec.sources.store import Catalog, export_collection, import_collection, load_collection
-from graphvec.streaming.log import LOG, LogSink, replay
+from graphvec.streaming.log import LOG, DurableCollection, LogSink, replay
 
 SEVEN = {1: (1, 0, 0, 0), 2: (0.9, 0.1, 0, 0), 3: (0.8, 0.2, 0, 0), 4: (0, 1, 0, 0), 5: (0, 0.9, 0.1, 0), 6: (0, 0, 1, 0), 7: (0, 0, 0.9, 0.1)}
 
@@ -173,3 +173,40 @@ def test_documents(spark, tmp_path):
     c = Collection.empty(spark, CollectionConfig("d", 16)).upsert(points).collection
     query = spark.range(1).select(documents.hashed_embedding(F.lit("dogs cats"), 16).alias("v")).first()["v"]
     assert c.search(query, 1).first()["score"] < 0.01
+
+
+def test_upsert_without_order_is_the_same_whatever_the_partitions(spark):
+    c = made(spark)
+    rows = spark.createDataFrame([(1, [float(i), 0.0, 0.0, 0.0]) for i in range(20)], "id long, vector array<float>")
+    found = {tuple(c.upsert(rows.repartition(n)).collection.get_point(1).first()["vector"]) for n in (1, 3, 7)}
+    assert len(found) == 1
+
+
+def test_query_by_vector_or_point(spark):
+    c = made(spark)
+    vector = [float(x) for x in c.get_point(1).first()["vector"]]
+    assert ids(c.query({"nearest": vector}, 3)) == ids(c.search(vector, 3)) and ids(c.query(vector, 3))[0] == 1
+    assert 1 not in ids(c.query({"nearest": 1}, 3))
+    with pytest.raises(KeyError):
+        c.query({"nearest": 12345})
+
+
+def test_durable_log(spark, tmp_path):
+    """What was logged lasts; a batch that turns out wrong is aborted; snapshots come after enough entries and change nothing."""
+    sink = LogSink(spark, CollectionConfig("c", 1), f"{tmp_path}/d", snapshot_entries=5)
+    store = DurableCollection(sink)
+    points = lambda *pairs: spark.createDataFrame([(i, [float(x)]) for i, x in pairs], "id long, vector array<float>")
+    store.upsert(points((1, 1), (2, 2), (3, 3)))
+    with pytest.raises(ValueError):
+        store.upsert(spark.createDataFrame([(9, [1.0, 2.0]), (1, [7.0])], "id long, vector array<float>"))
+    assert ids(store.collection.points) == [1, 2, 3] and store.collection.get_point(1).first()["vector"] == [1.0]
+    assert sink.entries(sink.batches()).filter("op = 'abort'").count() == 2
+    edges = spark.createDataFrame([(1, 2, "a"), (1, 3, "a")], "src long, dst long, relation string")
+    store.add_edges(edges)
+    assert sink.versions()  # 3 + 2 + 2 + 2 entries
+    store.delete(points((2, 0)))
+    out = store.remove_edges(edges.limit(1).withColumn("relation", F.lit(None).cast("string")))
+    assert sorted(ids(out.points)) == [1, 3] and out.edges.count() == 1
+    before = sorted(map(str, out.points.collect()))
+    number = store.checkpoint()
+    assert number == sink.versions()[-1] and sorted(map(str, DurableCollection(LogSink(spark, sink.config, sink.path)).collection.points.collect())) == before

@@ -124,3 +124,24 @@ def test_pushdown(spark, tmp_path):
     graph = PropertyGraph(spark).with_node(NodeTable("T", spark.read.parquet(f"{tmp_path}/t")))
     plan = graph.cypher("MATCH (t:T) WHERE t.a > 150 RETURN t.a AS a")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(a,150)" in plan and "ReadSchema: struct<a:bigint>" in plan or "id:bigint" in plan and "b:bigint" not in plan
+
+
+def test_trails_know_their_edges(spark):
+    """A path may not take an edge back, whichever way it is turned, but may take a parallel one."""
+    nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    once = spark.createDataFrame([(1, 2)], "src long, dst long")
+    graph = lambda edges: PropertyGraph(spark).with_node(NodeTable("N", nodes)).with_edge(EdgeTable("N", "R", "N", edges))
+    trails = lambda g, text: sorted(tuple(r) for r in g.cypher(text, path_mode="trail").collect())
+    assert trails(graph(once), "MATCH (a:N)-[:R*2]-(b:N) RETURN a.id AS a, b.id AS b") == []
+    assert trails(graph(once.union(once)), "MATCH (a:N)-[:R*2]-(b:N) RETURN a.id AS a, b.id AS b") == [(1, 1), (1, 1), (2, 2), (2, 2)]
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 2)], "src long, dst long")
+    assert trails(graph(chain), "MATCH (a:N {id: 1})-[:R*2..3]->(b:N) RETURN a.id AS a, b.id AS b") == [(1, 1), (1, 2), (1, 3), (1, 3)]
+    assert trails(graph(once), "MATCH (a:N)-[:R*5]->(b:N) RETURN a.id AS a, b.id AS b") == []
+
+
+def test_distinct_aggregates_and_whole_numbers(people):
+    assert rows(people, "UNWIND [1, 1, 4] AS x RETURN avg(DISTINCT x) AS a, sum(DISTINCT x) AS s, stdevp(x) AS p") == [(2.5, 5, 2 ** 0.5)]
+    with pytest.raises(Exception, match="DISTINCT"):
+        rows(people, "UNWIND [1, 1, 4] AS x RETURN stdev(DISTINCT x) AS a")
+    assert rows(people, "RETURN toInteger('9007199254740993') AS a, toInteger('2.9') AS b, toInteger('x') AS c") == [(9007199254740993, 2, None)]
+    assert rows(people, "RETURN duration('P1DT1S') AS a, duration('soon') AS b, duration('PT') AS c, time('07:05') AS t") == [(86401.0, None, None, "07:05:00.000000")]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphvec.functions import distance as D
 from graphvec.operators import knn as K
+from graphvec.operators.index import InvertedLists
 from graphvec.operators import quantization as Q
 from graphvec.operators import traversal as T
 
@@ -39,7 +40,7 @@ def test_top_k_plan(cloud):
 
 def test_inverted_lists_recall(cloud):
     x, df = cloud
-    index = K.InvertedLists.build(df, 16, "euclid")
+    index = InvertedLists.build(df, 16, "euclid")
     hits = [len({r["id"] for r in index.search(x[i], 10, probes=8).collect()} & set(np.linalg.norm(x - x[i], axis=1).argsort()[:10].tolist())) for i in range(5)]
     assert sum(hits) >= 45
     assert index.sizes().agg(F.sum("n")).first()[0] == 1000
@@ -104,3 +105,47 @@ def test_shortest_paths_settle(spark):
         T.shortest_paths(edges, 0, max_rounds=3)
     with pytest.raises(ValueError):
         T.shortest_paths(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.5)], "src long, dst long, weight double"), 1)
+
+
+def test_index_changes_on_disk(spark, cloud, tmp_path):
+    """Insert, delete, insert again and compact: the answers are those of a scan of what is there, and only probed lists are read."""
+    x, df = cloud
+    index = InvertedLists.build(df, 16, "euclid", parts=8).write(f"{tmp_path}/i")
+    index = index.delete([3, 5, 777_777]).insert(df.filter("id = 5").select("id", F.transform("vector", lambda v: v + 9).alias("vector")))
+    index = index.insert(df.filter("id < 10").select((F.col("id") + 5000).alias("id"), "vector")).delete([5001])
+    now = {i: v for i, v in enumerate(x) if i not in (3, 5)} | {5: x[5] + 9} | {5000 + i: x[i] for i in range(10) if i != 1}
+    for found in (index, InvertedLists.load(spark, f"{tmp_path}/i"), index.compact(f"{tmp_path}/j")):
+        wanted = sorted(now, key=lambda i: (np.linalg.norm(now[i] - x[0]), i))[:10]
+        assert [r["id"] for r in found.search(x[0], 10, probes=16).collect()] == wanted
+        assert [r["id"] for r in found.search_coded(x[0], 10, probes=16, factor=200).collect()] == wanted
+        assert {r["id"] for r in found.ids().collect()} == set(now) and found.sizes().agg(F.sum("n")).first()[0] == len(now)
+        assert found.memory_bytes() > 8 * 64 * len(now)
+    plan = index.search(x[0], 10, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan
+    hits = [len({r["id"] for r in index.search_coded(x[i], 10, probes=8).collect()} & set(sorted(now, key=lambda j: (np.linalg.norm(now[j] - x[i]), j))[:10])) for i in range(40, 45)]
+    assert sum(hits) >= 45
+
+
+def test_batches_of_queries_share_a_scan(spark, cloud, monkeypatch):
+    """Blocks of queries and of bytes give what one block gives, ties by id included."""
+    _, df = cloud
+    points = df.unionByName(df.filter("id < 300").withColumn("id", F.col("id") + 10_000))
+    asked = df.filter("id < 30").select(F.col("id").alias("query_id"), "vector")
+    wanted = sorted(map(tuple, K.knn_batch(points, asked, 5).collect()))
+    monkeypatch.setattr(K, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(K, "QUERY_BYTES", 64 * 8 * 10)
+    got = sorted(map(tuple, K.knn_batch(points, asked, 5).collect()))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in wanted] and [r[2] for r in got] == pytest.approx([r[2] for r in wanted])
+
+
+def test_kmeans_leaves_no_centre_empty():
+    x = np.concatenate([np.zeros((50, 2)), np.ones((50, 2)), [[9.0, 9.0]]])
+    centres = K.kmeans(x, 3)
+    assert {tuple(c) for c in centres.tolist()} == {(0.0, 0.0), (1.0, 1.0), (9.0, 9.0)} and len(K.kmeans(x[:1], 5)) == 1
+
+
+def test_traversal_goes_on(spark):
+    """Chains beyond a hundred steps are walked to their end."""
+    edges = spark.createDataFrame([(i, i + 1, "r", 1.0) for i in range(105)], "src long, dst long, relation string, weight double")
+    assert T.bfs(edges, 0).agg(F.max("depth")).first()[0] == 105
+    assert T.dfs(edges, 100).count() == 6 and T.dfs(edges, 100, 2).count() == 3

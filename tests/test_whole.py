@@ -1,4 +1,4 @@
-"""Queries over whole tables that SQL is too slow for, against brute force on the smallest tables."""
+"""Queries over whole tables against brute force on the smallest tables."""
 
 import heapq
 import os
@@ -23,7 +23,7 @@ def links(vectors):
     return {v: [(x, w) for x, w in (((7 * v + 1) % n, 1.0), ((13 * v + 5) % n, 0.5)) if x != v] for v in vectors}
 
 
-def test_shortest_path_all(spark, links):
+def test_shortest_path(spark, links):
     cost, queue = {}, [(0.0, 0)]
     while queue:
         c, v = heapq.heappop(queue)
@@ -31,12 +31,12 @@ def test_shortest_path_all(spark, links):
             cost[v] = c
             for x, w in links.get(v, ()):
                 heapq.heappush(queue, (c + w, x))
-    assert {r["node"]: r["cost"] for r in core.queries()["shortest_path_all"](spark, DATA).collect()} == cost
+    assert {r["node"]: r["cost"] for r in core.queries()["shortest_path"](spark, DATA).collect()} == cost
 
 
-def test_knn_batch_all(spark, vectors):
+def test_knn_batch(spark, vectors):
     out = {}
-    for r in core.queries()["knn_batch_all"](spark, DATA).orderBy("query_id", "rank").collect():
+    for r in core.queries()["knn_batch"](spark, DATA).orderBy("query_id", "rank").collect():
         out.setdefault(r["query_id"], []).append((r["id"], r["score"]))
     assert sorted(out) == sorted(v for v in vectors if v % 50 == 0)
     ids = sorted(vectors)
@@ -48,8 +48,8 @@ def test_knn_batch_all(spark, vectors):
         assert [d[ids.index(i)] for i, _ in found] == pytest.approx([s for _, s in found], abs=2e-4)
 
 
-@pytest.mark.parametrize("name, least, most", [("var_len_1_3_all", 1, 3), ("var_len_exact2_all", 2, 2)])
-def test_var_len_all(spark, links, name, least, most):
+@pytest.mark.parametrize("name, least, most", [("var_len_1_3", 1, 3), ("var_len_exact2", 2, 2)])
+def test_var_len(spark, links, name, least, most):
     wanted = []
     for v in links:
         depth, level = {v: 0}, [v]
@@ -58,4 +58,3 @@ def test_var_len_all(spark, links, name, least, most):
             depth |= dict.fromkeys(level, k)
         wanted += [(v, x) for x, k in depth.items() if least <= k]
     assert sorted((r["a"], r["b"]) for r in core.queries()[name](spark, DATA).collect()) == sorted(wanted)
-    print(name, len(wanted))
