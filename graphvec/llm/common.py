@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint_dir
+
 #: Bytes of text that one worker turns into Python objects at a time.
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a worker: JVM buffers and the worker's copy stay small beside a task's share.
@@ -47,15 +48,6 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it; only where it names none (tests) is one made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphvec-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -75,7 +67,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
     The files go when the Python process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphvec-{tag}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/graphvec-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)

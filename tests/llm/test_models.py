@@ -249,7 +249,55 @@ def test_language_identification(docs, awkward):
     assert sorted((r["lang_pred"], r["score"]) for r in alone.collect()) == [("en", 1.0), ("und", 0.0)]
 
 
-@pytest.mark.parametrize("languages", [2, 3, 5, 6, 20])
+def test_language_weights_against_brute_force(docs):
+    """Weights, curves and losses of a small corpus, counted n-gram by n-gram."""
+    rng = random.Random(7)
+    langs = [rng.choice(["aa", "bb", "cc"]) for _ in range(60)]
+    texts = [" ".join("".join(rng.choice({"aa": "abcx", "bb": "bcdx", "cc": "cdex"}[l]) for _ in range(4)) for _ in range(8)) for l in langs]
+    model = langid.learn(docs(texts, langs))
+
+    def buckets(t):
+        return langid.grams([t])[0].ravel().tolist()
+
+    counts = {l: Counter(b for t, x in zip(texts, langs) if x == l for b in buckets(t)) for l in model.languages}
+    share = np.array([[(counts[l][b] + langid.SMOOTHING) / (sum(counts[l].values()) + langid.SMOOTHING * langid.BUCKETS) for b in range(langid.BUCKETS)] for l in model.languages])
+    for b in range(model.code.shape[1]):
+        one = model.code[:, b] > 0
+        assert np.allclose(model.weights[:, b], np.log(share[one].mean(0) / share[~one].mean(0)), atol=1e-5)
+
+    def margin(t, b):
+        w = [float(model.weights[g, b]) for g in buckets(t)]
+        real = 2 * len(t.encode())
+        return min(max(sum(w) / math.sqrt(real), -langid.MOST_MARGIN), langid.MOST_MARGIN)
+
+    for b in range(model.code.shape[1]):
+        m, y = np.array([margin(t, b) for t in texts]), np.array([model.code[model.languages.index(l), b] > 0 for l in langs])
+        loss = lambda a, c: np.logaddexp(0, -(a * m + c) * np.where(y, 1, -1)).mean() + langid.RIDGE / 2 * ((a - 1) ** 2 + c**2)
+        best = loss(model.scale[b], model.offset[b])
+        assert all(best <= loss(model.scale[b] + da, model.offset[b] + dc) + 1e-9 for da in (-0.05, 0, 0.05) for dc in (-0.05, 0, 0.05))
+    for r in langid.identify(docs(texts), model).collect():
+        t = texts[r["doc_id"]]
+        losses = [sum(math.log1p(math.exp(-(model.scale[b] * margin(t, b) + model.offset[b]) * model.code[i, b])) for b in range(model.code.shape[1])) for i in range(3)]
+        assert r["lang_pred"] == model.languages[int(np.argmin(losses))]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(min(losses) - x) for x in losses), rel=1e-3)
+
+
+def test_many_languages(docs, monkeypatch):
+    """Seventy languages, more than a task holds at a time."""
+    monkeypatch.setattr(langid, "LANGUAGES_HELD", 8)
+    rng = random.Random(70)
+    names = [f"l{i:02}" for i in range(70)]
+    alphabets = {l: [chr(0x61 + rng.randrange(26)) + chr(0x61 + rng.randrange(26)) + chr(0x61 + rng.randrange(26)) for _ in range(6)] for l in names}
+    langs = names * 6
+    table = docs([" ".join(rng.choice(alphabets[l]) for _ in range(30)) for l in langs], langs)
+    model = langid.learn(langid.learning_rows(table))
+    assert model.languages == names
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table, model).collect()}
+    held = [i for i in range(len(langs)) if crc(i, 4) == 2]
+    assert np.mean([out[i] == langs[i] for i in held]) > 0.9
+
+
+@pytest.mark.parametrize("languages", [2, 3, 5, 6, 20, 70])
 def test_codewords_differ(languages):
     code = langid.code_matrix(languages)
     assert len({tuple(r) for r in code.tolist()}) == languages and (np.abs(code.sum(0)) < languages).all()
