@@ -45,6 +45,59 @@ def test_stages(spark):
     assert set(stages["bpe"][1]) == set(after)
 
 
+def tables(spark, path, documents, labels=(), benchmark=()):
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long, mark string, base string, `row` string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_awkward_rows(spark, tmp_path, awkward):
+    """Nulls, empty and long texts, repeated ids and rows, ties, clashing columns: each stage keeps what its docstring says."""
+    import corpus_pipeline as p
+
+    item = "the quick brown fox jumps over the lazy dog and then it goes home to sleep for the night"
+    plain = [f"document {i} tells of {i * 7} things that happened on day {i * 3} of the month number {i} in a far country" for i in range(30)]
+    texts = [(i, t) for i, t in enumerate(awkward + plain)]
+    texts += [(100, plain[0]), (100, plain[0]), (None, plain[1]), (None, None), (101, "x " + item + " y"), (102, "Mail zeb@example.org now, and nothing else today"), (103, None), (103, "another text under one id, quite unlike the others")]
+    docs = [(i, t, "en", "s", None if t is None else len(t), "m", "b", "r") for i, t in texts]
+    path = tables(spark, str(tmp_path), docs, [(i, 1, 0) for i in range(13, 30)], [(1, item), (2, None), (3, "")])
+    out = spark.read.parquet(f"{path}/documents.parquet")
+    seen = {}
+    for name, f in p.STAGES[:-1]:
+        before, out = out, f(spark, out, path).persist()
+        assert out.columns == before.columns and out.schema.simpleString() == before.schema.simpleString()
+        seen[name] = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(map(str, seen["toxicity"])) == sorted(map(str, texts))
+    left = [x for x in texts if x[0] != 100 and x != (12, "same text here")]
+    assert sorted(map(str, seen["ngram_jaccard"])) == sorted(map(str, left))  # 100 is a copy of a smaller id, so is 12
+    left = [x for x in left if x[0] != 101]
+    assert sorted(map(str, seen["decontaminate"])) == sorted(map(str, left))
+    hidden = dict(x for x in seen["pii"] if x[0] == 102)
+    assert len(seen["pii"]) == len(left) and hidden[102].startswith("Mail [EMAIL] now")
+    last = p.run(spark, path).collect()
+    assert sorted(str(r["doc_id"]) for r in last) == sorted(str(i) for i, _ in left)
+    assert all(r["n_tokens"] == 0 for r in last if r["doc_id"] in (0, 1))
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    assert p.run(spark, tables(spark, f"{tmp_path}/a", [])).count() == 0
+    assert p.run(spark, tables(spark, f"{tmp_path}/b", [(1, "some words here", "en", "s", 15, "m", "b", "r")])).count() == 1
+
+
+def test_join_against_its_sql(spark):
+    """The n-gram join's rows are those of its SQL, on whole tables."""
+    import duckdb
+    from graphvec.llm import queries
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    wanted = c.execute(queries.oracle_sql()["op7_jaccard"]).fetchall()
+    assert sorted(map(tuple, queries.op7_jaccard(spark, DATA).collect())) == sorted(wanted)
+
+
 def test_run_and_registration(spark):
     import __spark_entry__
 
