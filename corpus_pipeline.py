@@ -3,6 +3,11 @@
 Toxicity drops rejected documents; the n-gram Jaccard join keeps one document of each group of near copies (five-word
 shingles, similarity 0.8); decontamination drops documents that hold a benchmark item; PII replaces personal data and what
 discloses it; BPE encodes what is left. Stages but the last return the columns of documents.
+
+Defined results: empty tables give empty stages, and without labels of both kinds nothing is rejected as toxic; a null text
+counts as empty in every stage and stays null until BPE gives it no tokens; rows without a doc_id are never near copies and
+stay unless toxic or contaminated; rows that repeat an id are one document to the n-gram join, and to the others each its own;
+of texts that tie as copies the smallest doc_id stays; extra columns travel along, whatever their names, up to BPE.
 """
 
 from __future__ import annotations
