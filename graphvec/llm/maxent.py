@@ -12,7 +12,8 @@ blocks, and the driver moves the weights by the logarithm of one plus the precon
 takes the priors for expectations, each later one what the model expects at every position of every training text. The number
 of tokens counted sizes the table of weights: twice the rows for four times the tokens, up to MOST_BITS more than for 2^22
 tokens (what tasks and driver hold is bounded; beyond that features share rows more often, none is dropped). The gradient
-passes run in as many tasks as there are cores twice over, so what they send does not grow with the number of files.
+passes run in as many tasks as there are cores twice over, or one for FILES_A_TASK partitions of text where that is more: each
+task sends one table, so few tasks send little, and no task grows with the corpus.
 
 Scoring looks KNOWN frequent words up in a broadcast table of bounded size and joins the counts of all others by a shuffle, so
 no word is dropped.
@@ -49,7 +50,7 @@ OTHERS = 1 << 16
 FEATURES = ((0, 1, 3), (0, 1), (0,))
 HASH_BITS = (12, 10, 8)
 LEAST_BITS, MOST_BITS = -4, 7
-BLOCK = 1 << 16
+BLOCK, FILES_A_TASK = 1 << 16, 16
 #: A rate for each step; weight of the prior beside what is expected.
 RATES, PRIOR = (0.45, 0.3, 0.3), 60.0
 CHUNK = 4096
@@ -322,7 +323,7 @@ def train(coded_texts: DataFrame, lexicon: Lexicon) -> Model:
     spark, model = coded_texts.sparkSession, Model(lexicon)
     size = model.layout.rows * BRANCH
     shared = broadcast_value(spark, lexicon)
-    texts = coded_texts.coalesce(2 * spark.sparkContext.defaultParallelism)
+    texts = coded_texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, coded_texts.rdd.getNumPartitions() // FILES_A_TASK))
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, layout = np.zeros(size, dtype=np.int32), Layout(shared.value.bits)
