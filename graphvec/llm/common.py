@@ -20,8 +20,8 @@ from ..runtime import checkpoint_dir
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a worker: JVM buffers and the worker's copy stay small beside a task's share.
 BATCH_BYTES = 8 << 20
-#: Rows of a few numbers each up to which a table is broadcast, after they were counted.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a table is broadcast, after both were counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,8 +58,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows are `rows` at most; beyond that Spark shuffles the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """`df` with a broadcast hint if its counted rows are `rows` at most and take BROADCAST_BYTES at most as JSON; beyond that
+    Spark shuffles the join."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= BROADCAST_BYTES else df
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
