@@ -95,9 +95,9 @@ class InvertedLists:
 
     # -- changing ----------------------------------------------------------------------------------------------------------
     def insert(self, points: DataFrame) -> InvertedLists:
-        """The index with `points` (id, vector), which replace those of the same id."""
-        op = self.op + 1
-        return self._changed(self._dealt(points.dropDuplicates(["id"]), op), points.select(F.col("id").cast("long").alias("id")).distinct(), op)
+        """The index with `points` (id, vector), which replace those of the same id; of several with one id the greatest vector."""
+        op, points = self.op + 1, points.groupBy(F.col("id").cast("long").alias("id")).agg(F.max("vector").alias("vector"))
+        return self._changed(self._dealt(points, op), points.select("id"), op)
 
     def delete(self, ids: DataFrame | Sequence[int]) -> InvertedLists:
         """The index without these ids; ids that it doesn't hold are ignored."""

@@ -144,7 +144,7 @@ class DurableCollection:
         """rows: a column `column` of LOG for each entry."""
         numbers = self.sink.batches()
         number = numbers[-1] + 1 if numbers else 0
-        least = self.sink.entries(numbers[-1:]).agg(F.max("lsn")).first()[0]
+        least = self.sink.entries(numbers).agg(F.max("lsn")).first()[0]
         filled = [rows[f.name] if f.name == column else F.lit(None).cast(f.dataType).alias(f.name) for f in LOG if f.name not in ("lsn", "op")]
         lsn = F.monotonically_increasing_id() + (0 if least is None else least + 1)
         self.sink.append(rows.select(lsn.alias("lsn"), F.lit(op).alias("op"), *filled), number)
