@@ -244,7 +244,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     # half a digest is enough here: should two classes share it, both become candidates, and candidates are verified
     posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, packed long"), "posted")
-    shared = posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key")
+    # what is known of each shingle is written before it is joined: then a shingle that many sets post is split over tasks
+    shared = written(posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key"), "shared")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(o).alias(o) for o in SKETCHED])
     # sorted runs merge at every size, so the plan is the same for small inputs and large ones
     n_of, pos_of = F.expr(f"cast(shiftright(packed, {POS_BITS}) & {(1 << N_BITS) - 1} as int)").alias("n"), F.expr(f"cast(packed & {(1 << POS_BITS) - 1} as int)").alias("pos")
@@ -258,7 +259,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     # round one: each set with the most typical under its shingle
     typical = F.expr(f"shiftright(packed, {N_BITS + POS_BITS})")
-    first = kept.groupBy("key").agg(F.min(F.struct((-typical).alias("t"), "node", "packed", "r")).alias("f")).select("key", "f.node", "f.packed", "f.r").select(*wide()).select(*other())
+    first = written(kept.groupBy("key").agg(F.min(F.struct((-typical).alias("t"), "node", "packed", "r")).alias("f")).select("key", "f.node", "f.packed", "f.r"), "first").select(*wide()).select(*other())
     pairs = _candidates(kept.select(*wide()).join(first, "key").filter("node <> node2"), percent)
     odd = reps.select("node", "n", *SKETCHED)
     ends = odd.select(F.col("node").alias("a"), "n", *SKETCHED), odd.select(F.col("node").alias("b"), F.col("n").alias("n2"), *[F.col(o).alias(o + "2") for o in SKETCHED])
@@ -269,6 +270,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # round two: what is not in its shingle's largest component, against the other components
     labelled = written(kept.join(found, "node", "left").select("key", "node", "packed", "r", F.coalesce("component", "node").alias("c")), "labelled")
     main = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("x.c").alias("main"))
+    main = written(main, "main")
     mixed = labelled.join(main, "key").join(odd.drop("n"), "node").select(*wide("c", "main", *SKETCHED))
     rest = mixed.filter("c <> main").select(*other("c", *SKETCHED))
     crossed = mixed.join(rest, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("node") < F.col("node2"))) & _near(percent))

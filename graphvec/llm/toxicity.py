@@ -170,7 +170,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sums = by_word.agg(F.count("*").alias("v"), *[F.sum(c).alias(c) for c in by_word.columns if c != "word"], *[F.sum(left(c)).alias(f"kept_{c}") for c in by_word.columns if c != "word"]).first()
     # the sample's size bounds these; a word whose counts are all discounted has the unseen word's ratio; a half has no count left where both together have none
     kept = by_word.filter(F.greatest("n03", "n13") > DISCOUNT).toArrow()
-    pairs = by_pair.filter(F.greatest("c03", "c13") > DISCOUNT).join(by_word, "word").toArrow()
+    several = by_pair.filter(F.greatest("c03", "c13") > DISCOUNT)
+    followers = by_word.join(several.select("word").distinct(), "word").toArrow()
+    pairs = several.toArrow()
     histories = by_pair.groupBy("history").agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in kinds], *[F.sum(left(f"c{k}")).alias(f"kept_{k}") for k in kinds]).filter("kept_03 + kept_13 > 0").toArrow()
     by_word.unpersist()
     discard(by_pair)
@@ -178,6 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, None)
     ids: dict[bytes, int] = {w: k for k, w in enumerate(kept["word"].to_pylist())}
     history, follower, opened = ([ids.setdefault(w, len(ids)) for w in column.to_pylist()] for column in (pairs["history"], pairs["word"], histories["history"]))
+    place = {w: k for k, w in enumerate(followers["word"].to_pylist())}
+    low = np.array([place[w] for w in pairs["word"].to_pylist()], dtype=np.int64)
     history, follower, opened = (np.array(x, dtype=np.int64) for x in (history, follower, opened))
 
     def ratio(m: int) -> Ratios:
@@ -191,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         word, (p, q) = np.full(len(ids) + 1, np.log(free[0] / free[1])), lowest(kept)
         word[: len(p)] = np.log(p / q)
         back, pair = np.zeros(len(word)), np.zeros(len(pairs))
-        for y, share, sign in zip((1, 0), lowest(pairs), (1, -1)):
+        for y, share, sign in zip((1, 0), (s[low] for s in lowest(followers)), (1, -1)):
             t, size = np.ones(len(word)), np.zeros(len(word))
             t[opened] = np.maximum(1, histories[f"t{y}{m}"].to_numpy())
             size[opened] = histories[f"kept_{y}{m}"].to_numpy()
