@@ -104,6 +104,19 @@ def give_back() -> None:
         trim(0)
 
 
+def tidied(run, *shared):
+    """`run`, a map over batches, and at its task's end the worker's copies of broadcast values go, and the memory that they and
+    the task took: a worker lives on, idle at times, while other stages need the memory. The next task reads them again."""
+
+    def map_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for value in shared:
+            value.__dict__.pop("_value", None)
+        give_back()
+
+    return map_
+
+
 def tokens_of(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` with A-Z lowered. On bytes, lower() and split() know ASCII only, which is the rule."""
     return text.encode("utf-8", "surrogatepass").lower().split()

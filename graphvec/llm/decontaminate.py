@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, documents, slices, written
+from .common import broadcast_value, documents, slices, tidied, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -275,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "similarity", "hamming", "start_word", "end_word"])
 
-        found = texts.mapInArrow(run, schema)
+        found = texts.mapInArrow(tidied(run, shared), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -294,5 +294,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {o for o, *_ in find(shared.value, [t or "" for t in batch.column("text").to_pylist()])}
                 yield batch.filter(pa.array([o not in bad for o in range(batch.num_rows)], pa.bool_()))
 
-        out, matched = (written(out, "unmatched") if matched else out).mapInArrow(run, docs.schema), True
+        out, matched = (written(out, "unmatched") if matched else out).mapInArrow(tidied(run, shared), docs.schema), True
     return out

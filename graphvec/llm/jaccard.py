@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, discard, documents, few, slices, tokens_of, written
+from .common import broadcast_value, discard, documents, few, slices, tidied, tokens_of, written
 from .components import components
 
 #: Bits of the sketch's number of counters, bytes of text to a counter, and how many counters a row carries. MOST_BITS bounds
@@ -210,7 +210,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`: sets link when 100 * intersection >= percent * union."""
     spark, docs = docs.sparkSession, documents(docs)
     bits = sketch_bits(docs)
-    survey = written(docs.mapInArrow(_survey(n, bits), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{o} long' for o in SKETCHED)}, block int, counts binary"), "survey")
+    survey = written(docs.mapInArrow(tidied(_survey(n, bits)), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{o} long' for o in SKETCHED)}, block int, counts binary"), "survey")
     members = survey.filter("block is null").select("doc_id", "n", "d1", "d2", *SKETCHED)
     level = np.zeros(1 << bits, dtype=np.uint8)
     for r in survey.filter("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_sum_blocks, "block int, level binary").toLocalIterator():
@@ -243,7 +243,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1), pa.array(packed)], names=["key", "d1", "packed"])
 
     # half a digest is enough here: should two classes share it, both become candidates, and candidates are verified
-    posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, d1 long, packed long"), "posted")
+    posted = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(post, rarity), "key long, d1 long, packed long"), "posted")
+    rarity.destroy()
     # what is known of each shingle is written before it is joined: then a shingle that many sets post is split over tasks
     shared = written(posted.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("key"), "shared")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(o).alias(o) for o in SKETCHED])

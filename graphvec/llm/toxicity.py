@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, discard, documents, fold, slices, written
+from .common import broadcast_value, discard, documents, fold, slices, tidied, written
 
 MAX_LABELLED = 20_000
 DISCOUNT = 1.5
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 seen.clear()
         yield emit()
 
-    types = texts.mapInArrow(triples, "before binary, history binary, word binary, toxic int, halves int").groupBy("toxic", "history", "word", "before").agg(F.bit_or("halves").alias("halves"))
+    types = texts.mapInArrow(tidied(triples), "before binary, history binary, word binary, toxic int, halves int").groupBy("toxic", "history", "word", "before").agg(F.bit_or("halves").alias("halves"))
     kinds = [f"{y}{m}" for y in (0, 1) for m in (1, 2, 3)]
     left = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
     by_pair = written(types.groupBy("history", "word").agg(*[F.sum(F.when((F.col("toxic") == int(k[0])) & (F.col("halves").bitwiseAND(int(k[1])) > 0), 1).otherwise(0)).alias(f"c{k}") for k in kinds]), "pairs")
@@ -215,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             x = np.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("toxic").to_pylist(), pa.int32()), *[pa.array(x[:, i]) for i in range(6)]], names=["y", *"abcdef"])
 
-    found = texts.mapInArrow(measure, "y int, a double, b double, c double, d double, e double, f double").toArrow()
+    found = texts.mapInArrow(tidied(measure, shared), "y int, a double, b double, c double, d double, e double, f double").toArrow()
     shared.destroy()
     x, y = np.stack([found[c].to_numpy() for c in "abcdef"], 1), found["y"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double")
+    return documents(docs).mapInArrow(tidied(run, shared), "doc_id long, score double")
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
@@ -248,4 +248,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             scores = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
 
-    return docs.select(columns).mapInArrow(run, docs.schema)
+    return docs.select(columns).mapInArrow(tidied(run, shared), docs.schema)
