@@ -282,6 +282,17 @@ def test_language_weights_against_brute_force(docs):
         assert r["score"] == pytest.approx(1 / sum(math.exp(min(losses) - x) for x in losses), rel=1e-3)
 
 
+def test_curve_settles_on_outliers():
+    """Sure margins, some of them wrong: the steps neither overshoot nor end before the least loss."""
+    rng = np.random.default_rng(5)
+    for wrong in (0.0, 0.01, 0.1, 0.3):
+        one = (rng.random(4000) < 0.5).astype(float)
+        margin = np.clip((2 * one - 1) * rng.normal(9, 3, 4000), -12, 12) * np.where(rng.random(4000) < wrong, -1, 1)
+        loss = lambda a, c: np.logaddexp(0, -(a * margin + c) * (2 * one - 1)).mean() + langid.RIDGE / 2 * ((a - 1) ** 2 + c**2)
+        a, c = langid.curve(margin, one)
+        assert a > 0.01 and all(loss(a, c) <= loss(a + x, c + y) + 1e-9 for x in (-0.01, 0, 0.01) for y in (-0.01, 0, 0.01))
+
+
 def test_many_languages(docs, monkeypatch):
     """Seventy languages, more than a task holds at a time."""
     monkeypatch.setattr(langid, "LANGUAGES_HELD", 8)
