@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -128,6 +129,22 @@ def row_base() -> int:
     return (context.partitionId() if context else 0) << 40
 
 
+def mapped(shared) -> np.ndarray:
+    """The bytes of a broadcast `bytearray`. A worker maps the file that its executor keeps for all workers, so that none has a
+    copy of its own; where there is no such file, or it does not hold the bytes in one piece, they are read as usual."""
+    path = shared.__dict__.get("_path") if "_value" not in shared.__dict__ else None
+    try:
+        with open(path, "rb") as f:
+            head = f.read(64)
+        at = head.find(b"\x96") + 9  # pickle's mark of a bytearray: its length in eight bytes follows, then the bytes themselves
+        size = int.from_bytes(head[at - 8 : at], "little")
+        if at > 8 and size > len(head) and 0 <= os.path.getsize(path) - at - size < 16:
+            return np.memmap(path, np.uint8, "r", at, (size,))
+    except (OSError, TypeError):
+        pass
+    return np.frombuffer(shared.value, np.uint8)
+
+
 def broadcast_value(spark: SparkSession, value):
     """For values of a size that a parameter bounds."""
     return spark.sparkContext.broadcast(value)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, discard, documents, few, slices, tidied, tokens_of, written
+from .common import broadcast_value, discard, documents, few, mapped, slices, tidied, tokens_of, written
 from .components import components
 
 #: Bits of the sketch's number of counters, bytes of text to a counter, and how many counters a row carries. MOST_BITS bounds
@@ -212,13 +212,16 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     bits = sketch_bits(docs)
     survey = written(docs.mapInArrow(tidied(_survey(n, bits)), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{o} long' for o in SKETCHED)}, block int, counts binary"), "survey")
     members = survey.filter("block is null").select("doc_id", "n", "d1", "d2", *SKETCHED)
-    level = np.zeros(1 << bits, dtype=np.uint8)
+    held = bytearray(1 << bits)
+    level = np.frombuffer(held, dtype=np.uint8)
     for r in survey.filter("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_sum_blocks, "block int, level binary").toLocalIterator():
         level[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["level"], dtype=np.uint8)
-    rarity = broadcast_value(spark, level)
+    rarity = broadcast_value(spark, held)
+    del held, level
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        levels = mapped(rarity)
         for batch in slices(batches):
             keys, owner, place, rows = [], [], [], []  # rows: digest, size and typicality of each set
             for s in shingle_sets(batch.column("text").to_pylist(), n):
@@ -230,7 +233,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 if len(seen) < REMEMBER:
                     seen.add(digest)
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                common = rarity.value[_bucket(s, bits)]
+                common = levels[_bucket(s, bits)]
                 order = np.lexsort((s, common))[:length]
                 keys.append(s[order])
                 place.append(np.arange(length))

@@ -1,11 +1,15 @@
 """Near copies, repeated passages and contamination against brute force."""
 
+import pathlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphvec.llm import components, decontaminate, jaccard, substring
+from graphvec.llm.common import mapped
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -258,3 +262,35 @@ def test_repeats_against_brute_force(docs):
                     run += [piece] if piece else []
             stretch = []
     assert {tuple(r) for r in substring.repeats(docs(texts)).collect()} == wanted and len(wanted) > 20
+
+
+def test_workers_map_a_broadcast_table_and_hold_no_copy(spark):
+    table = bytearray(np.random.default_rng(4).integers(0, 256, 1 << 26, dtype=np.uint8))
+    shared = spark.sparkContext.broadcast(table)
+    total = int(np.frombuffer(table, np.uint8).sum(dtype=np.int64))
+
+    def anonymous():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    def run(batches):
+        for _ in batches:
+            before = anonymous()
+            x = mapped(shared)
+            found = int(x.sum(dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([found]), pa.array([anonymous() - before])], names=["total", "mb"])
+
+    for r in spark.range(2).repartition(2).mapInArrow(run, "total long, mb double").collect():
+        assert r["total"] == total and r["mb"] < 48
+    assert int(mapped(shared).sum(dtype=np.int64)) == total  # on the driver
+
+
+@pytest.mark.parametrize("size", [0, 3, 100, 70_000])
+def test_a_mapped_table_of_any_size_is_whole(spark, size):
+    table = bytearray(np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8))
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([mapped(shared).tobytes()], pa.binary())], names=["x"])
+
+    assert {bytes(r["x"]) for r in spark.range(2).mapInArrow(run, "x binary").collect()} == {bytes(table)}
