@@ -108,16 +108,21 @@ def coded(lexicon: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     """Codes of the tokens of all texts, one after the other, the tokens' places in their texts, and the words."""
     split = [tokens_of(t) for t in texts]
     for ws in split:
-        if ws and max(map(len, ws)) > LONG_WORD:
-            ws[:] = map(key_of, ws)
         ws.append(END)
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     total = int(lengths.sum())
     flat = list(chain.from_iterable(split))
     codes = np.fromiter(map(lexicon.ids().get, flat, repeat(-1)), np.int64, total)
+    place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     unknown = np.flatnonzero(codes < 0)
+    long = [i for i in unknown.tolist() if len(flat[i]) > LONG_WORD]  # known by their digests only, so none was found yet
+    if long:
+        for i, d in zip(long, (np.searchsorted(np.cumsum(lengths), long, side="right")).tolist()):
+            flat[i] = split[d][int(place[i])] = key_of(flat[i])
+            codes[i] = lexicon.ids().get(flat[i], -1)
+        unknown = np.flatnonzero(codes < 0)
     codes[unknown] = [lexicon.known + xxhash.xxh32_intdigest(flat[i]) % OTHERS for i in unknown.tolist()]  # codes behind the known ones
-    return codes, np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths), split
+    return codes, place, split
 
 
 def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -307,15 +312,17 @@ def observe(lexicon: Lexicon, layout: Layout, codes: np.ndarray, place: np.ndarr
 
 
 def expect(model: Model, codes: np.ndarray, place: np.ndarray, total: np.ndarray) -> None:
-    """Add to `total` how often the model expects each branch after each row's feature, at every position."""
-    branches = np.arange(BRANCH)
-    for lo in range(0, len(codes), CHUNK):
-        at = np.arange(lo, min(lo + CHUNK, len(codes)))
+    """Add to `total` how often the model expects each branch after each row's feature, at every position. Two branches are
+    added at a time, as the parts of a complex number; a chunk is so small that its rows stay in the cache meanwhile."""
+    rows_of = total.view(np.complex128).reshape(-1, BRANCH // 2)
+    for lo in range(0, len(codes), CHUNK // 2):
+        at = np.arange(lo, min(lo + CHUNK // 2, len(codes)))
         leaf = model.lexicon.leaf_of[codes[at]]
         for level, (node, rows) in enumerate(model.layout.of(codes, place, leaf, at)):
-            p = model.shares(level, node, rows).astype(np.float64).ravel()
+            p = model.shares(level, node, rows).astype(np.float64).view(np.complex128)
             for r in rows:
-                np.add.at(total, ((r * BRANCH)[:, None] + branches).ravel(), p)
+                for k in range(BRANCH // 2):
+                    np.add.at(rows_of[:, k], r, p[:, k])
 
 
 def train(coded_texts: DataFrame, lexicon: Lexicon) -> Model:

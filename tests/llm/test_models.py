@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -418,3 +419,38 @@ def test_ann_local_join_offers_what_a_list_would_take():
         batches = (pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([r[2] for r in part]), pa.array([packed[r[1]] for r in part], pa.binary()), pa.array(least[[r[1] for r in part]])], names=["u", "w", "fresh", "vec", "least"]) for part in (rows[k : k + size] for k in range(0, len(rows), size)))
         got = {r["v"]: dict(zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["s"], np.float32).tolist())) for b in ann._local_join(batches) for r in b.to_pylist()}
         assert got == {w: dict(sorted(z.items(), key=lambda i: -i[1])[: ann.DEGREE]) for w, z in want.items()}
+
+
+def _random_model() -> maxent.Model:
+    words = [b"w%d" % k for k in range(5000)] + [maxent.key_of(b"k" * 30)]
+    counts = np.append(np.arange(5000, 0, -1), 1) * 50
+    groups = np.array([maxent.group_of(w) for w in words])
+    lexicon = maxent.Lexicon(words, counts, np.bincount(groups, weights=counts, minlength=maxent.GROUPS), np.bincount(groups, minlength=maxent.GROUPS))
+    model = maxent.Model(lexicon)
+    model.weights[:] = np.random.default_rng(0).normal(size=model.weights.shape) * 0.1
+    return model
+
+
+def test_maxent_expectations_are_the_sums_of_shares_and_take_no_index_per_branch():
+    model, rng = _random_model(), np.random.default_rng(1)
+    codes, place = rng.integers(0, 5000, 9001), np.arange(9001) % 40
+    total, want = np.zeros(model.weights.size), np.zeros(model.weights.shape)
+    tracemalloc.start()
+    maxent.expect(model, codes, place, total)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for level, (node, rows) in enumerate(model.layout.of(codes, place, model.lexicon.leaf_of[codes], np.arange(9001))):
+        for r in rows:
+            np.add.at(want, r, model.shares(level, node, rows).astype(np.float64))
+    assert np.allclose(total.reshape(want.shape), want, rtol=1e-6, atol=1e-12)
+    assert peak < 1_300_000
+
+
+def test_maxent_codes_of_long_words_are_those_of_their_digests():
+    lexicon = _random_model().lexicon
+    known, new = b"k" * 30, b"n" * 40
+    codes, place, split = maxent.coded(lexicon, ["W3 " + known.decode() + " w3", "", new.decode().upper() + " w0"])
+    unknown = lexicon.known + maxent.xxhash.xxh32_intdigest(maxent.key_of(new)) % maxent.OTHERS
+    end = lexicon.known + maxent.xxhash.xxh32_intdigest(maxent.END) % maxent.OTHERS
+    assert codes.tolist() == [3, 5000, 3, end, end, unknown, 0, end] and place.tolist() == [0, 1, 2, 3, 0, 0, 1, 2]
+    assert split == [[b"w3", maxent.key_of(known), b"w3", maxent.END], [maxent.END], [maxent.key_of(new), b"w0", maxent.END]]
