@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, documents, slices
+from .common import broadcast_value, documents, slices, tidied
 
 #: Fixed values of the tokenizer's definition.
 END_OF_WORD = "</w>"
@@ -40,6 +41,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.intc)
+
+
+class _Entries(dict):
+    """Ids by word, packed: a worker remembers many words. An item taken by [] is unpacked: ids as text, tokens as text, count, ids."""
+
+    def __init__(self, name: dict[int, str]):
+        super().__init__()
+        self.name = name
+
+    def __getitem__(self, word: str) -> tuple[str, str, int, tuple[int, ...]]:
+        ids = tuple(_ids(super().__getitem__(word)).tolist())
+        return " ".join(map(str, ids)), " ".join([self.name[i] for i in ids]), len(ids), ids
+
+
 class SpeculativeBpe:
     """Encoder for a word-ended byte-level BPE given as the JSON text of a tokenizer file."""
 
@@ -67,7 +84,7 @@ class SpeculativeBpe:
         self.longest = max(len(t.removesuffix(END_OF_WORD)) for t in vocab)
         self.whole = self._self_consistent()
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
-        self.cache: dict[str, tuple[str, str, int, tuple[int, ...]]] = {}
+        self.cache = _Entries(self.name)
         self.exact_words = 0
         self.splitter = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         letters, numbers = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -175,9 +192,8 @@ class SpeculativeBpe:
         for i in np.flatnonzero(fails).tolist():
             proposed[i] = self.merge(shown[i])
         self.exact_words += int(fails.sum())
-        name = self.name
         for word, ids in zip(words, proposed):
-            self.cache[word] = (" ".join(map(str, ids)), " ".join([name[i] for i in ids]), len(ids), tuple(ids))
+            self.cache[word] = array("i", ids).tobytes()
 
     # -- texts ---------------------------------------------------------------------------------------------------------
     def words(self, text: str) -> list[str]:
@@ -199,21 +215,21 @@ class SpeculativeBpe:
             return self.any.findall(text)
         return self.latin.findall(text)
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[str, str, int, tuple[int, ...]]]]:
-        """For each text its words' entries: ids as text, tokens as text, count, ids."""
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids, packed."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         for content, i in self.added.items():
-            self.cache[content] = (str(i), content, 1, (i,))
+            self.cache[content] = array("i", [i]).tobytes()
         split = [self.words(t) for t in texts]
         fresh = {w for ws in split for w in ws if w not in self.cache}
         if fresh:
             self.learn(list(fresh))
-        get = self.cache.__getitem__
-        return [list(map(get, ws)) for ws in split]
+        get = self.cache.get
+        return [b"".join(map(get, ws)) for ws in split]
 
     def encode(self, text: str) -> list[int]:
-        return [i for e in self.encode_batch([text])[0] for i in e[3]]
+        return _ids(self.encode_batch([text])[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokenizer names no decoder, so tokens are joined by single spaces; unknown ids are left out."""
@@ -242,7 +258,8 @@ def _encoder(definition) -> SpeculativeBpe:
 def encode(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>, null unless keep_ids), decoded text's and ids' SHA-256.
 
-    One map over the texts, no shuffle. The driver reads the tokenizer file, whose size the vocabulary bounds."""
+    One map over the texts, no shuffle. The driver reads the tokenizer file, whose size the vocabulary bounds. At a task's end
+    its worker forgets the words, for other stages need the memory while it is idle."""
     with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as f:
         definition = broadcast_value(docs.sparkSession, f.read())
 
@@ -251,15 +268,17 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(definition)
         for batch in slices(batches):
-            counts, ids, id_digests, decoded = [], [], [], []
-            for entries in bpe.encode_batch(batch.column("text").to_pylist()):
-                counts.append(sum([e[2] for e in entries]))
-                id_digests.append(hashlib.sha256(" ".join([e[0] for e in entries]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-                ids.append([i for e in entries for i in e[3]] if keep_ids else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, schema.field("ids").type), pa.array(id_digests), pa.array(decoded)], schema=schema)
-
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+            packed, id_digests, decoded = bpe.encode_batch(batch.column("text").to_pylist()), [], []
+            for ids in map(np.ndarray.tolist, map(_ids, packed)):
+                id_digests.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(map(bpe.name.__getitem__, ids)).encode()).hexdigest())
+            counts = np.fromiter(map(len, packed), np.int64, len(packed)) // np.intc().itemsize
+            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(_ids(b"".join(packed)), pa.int32())) if keep_ids else pa.nulls(len(packed), schema.field("ids").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), lists.cast(schema.field("ids").type), pa.array(id_digests, pa.string()), pa.array(decoded, pa.string())], schema=schema)
+        bpe.cache.clear()
+
+    return documents(docs).mapInArrow(tidied(run, definition), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ MAX_LABELLED = 20_000
 DISCOUNT = 1.5
 SPAN = 8
 REJECT = 0.7
+#: Triples that a worker turns into an Arrow batch at a time.
+EMITTED = 10_000
 CLEAR = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Mean logistic loss is minimised with this ridge; steps of Newton's method.
 RIDGE, NEWTON = 1e-3, 30
@@ -138,30 +141,34 @@ def _sample(labels: DataFrame) -> DataFrame:
     return found.filter(mixed < share * (1 << 20)).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
 
 
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct triples of words of each class, with the halves that hold them; a triple may come again."""
+    seen: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}  # by class
+
+    def emit():
+        for y, found in enumerate(seen):
+            items = iter(found.items())
+            while part := list(islice(items, EMITTED)):
+                words_ = [pa.array(x, pa.binary()) for x in zip(*(triple.split(b" ") for triple, _ in part))]
+                yield pa.RecordBatch.from_arrays([*words_, pa.array([y] * len(part), pa.int32()), pa.array([h for _, h in part], pa.int32())], names=["before", "history", "word", "toxic", "halves"])
+            found.clear()
+
+    for batch in slices(batches):
+        for t, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
+            ws, found = words(t), seen[y]
+            for triple in set(map(b" ".join, zip([b"", b"", *ws], [b"", *ws], ws))):
+                found[triple] = found.get(triple, 0) | (1 << h)
+        if sum(map(len, seen)) > 300_000:
+            yield from emit()
+    yield from emit()
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows of `labels` (doc_id, toxic) and their texts in `docs`."""
     # the sample's size is bounded, so its rows may be broadcast: texts stay where they are read
     texts = documents(docs).join(F.broadcast(_sample(labels)), "doc_id")
 
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bytes, int], int] = {}
-        names = ["before", "history", "word", "toxic", "halves"]
-
-        def emit():
-            parts = list(zip(*(k[0].split(b" ") for k in seen))) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in parts], pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int32())], names=names)
-
-        for batch in slices(batches):
-            for t, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
-                ws = words(t)
-                for triple in set(map(b" ".join, zip([b"", b"", *ws], [b"", *ws], ws))):
-                    seen[triple, y] = seen.get((triple, y), 0) | (1 << h)
-            if len(seen) > 300_000:
-                yield emit()
-                seen.clear()
-        yield emit()
-
-    types = texts.mapInArrow(tidied(triples), "before binary, history binary, word binary, toxic int, halves int").groupBy("toxic", "history", "word", "before").agg(F.bit_or("halves").alias("halves"))
+    types = texts.mapInArrow(tidied(_triples), "before binary, history binary, word binary, toxic int, halves int").groupBy("toxic", "history", "word", "before").agg(F.bit_or("halves").alias("halves"))
     kinds = [f"{y}{m}" for y in (0, 1) for m in (1, 2, 3)]
     left = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
     by_pair = written(types.groupBy("history", "word").agg(*[F.sum(F.when((F.col("toxic") == int(k[0])) & (F.col("halves").bitwiseAND(int(k[1])) > 0), 1).otherwise(0)).alias(f"c{k}") for k in kinds]), "pairs")

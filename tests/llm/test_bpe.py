@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,3 +49,29 @@ def test_table(docs, awkward):
     assert bpe.encode(docs([])).count() == 0
     back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs(awkward))).collect()}
     assert back[3] == "word</w>" and back[0] == ""
+
+
+def test_remembered_words_are_small():
+    """A worker remembers up to CACHE_WORDS words, so each has to take little."""
+    fresh = bpe.SpeculativeBpe(open(PATH, encoding="utf-8").read())
+    words = [hashlib.sha256(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9] for i in range(20_000)]
+    tracemalloc.start()
+    fresh.learn(words)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / len(words) < 200
+    assert [fresh.encode(w) for w in words[:200]] == [e.ids for e in LIBRARY.encode_batch(words[:200], add_special_tokens=False)]
+
+
+def test_workers_forget_words(docs, spark):
+    """A worker lives on between stages: what it has learned for one task does not stay."""
+    assert bpe.encode(docs([f"word{i} other{i}" for i in range(300)])).count() == 300
+    bpe.encode(docs([f"word{i} other{i}" for i in range(300)])).write.format("noop").mode("overwrite").save()
+
+    def kept(batches):
+        from graphvec.llm import bpe as module
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.cache) for e in module._loaded.values())], pa.int64())], names=["n"])
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()} == {0}

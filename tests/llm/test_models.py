@@ -228,6 +228,29 @@ def test_toxicity_table_leaves_out_unseen_ratios_only(docs, spark):
     assert all(model.ratio[w] == model.ratio[b"never seen"] for w in set(model.ratio) - several)
 
 
+def test_toxicity_triples_are_those_of_the_texts_and_leave_in_small_batches():
+    """A worker's share of the triples goes to Arrow piece by piece, so it holds them once only."""
+    rng = random.Random(5)
+    rows = [(" ".join(f"word{rng.randrange(1 << 40):x}" for _ in range(60)) + " the cat the cat", rng.randrange(2), rng.randrange(2)) for _ in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32()))], names=["text", "toxic", "half"])
+    expected, found, most = {}, {}, 0
+    tracemalloc.start()
+    for out in toxicity._triples(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        assert out.num_rows <= 10_000
+        tracemalloc.stop()
+        for before, history, word, y, h in zip(*(out.column(c).to_pylist() for c in ("before", "history", "word", "toxic", "halves"))):
+            found[before, history, word, y] = found.get((before, history, word, y), 0) | h
+        tracemalloc.start()
+    tracemalloc.stop()
+    for t, y, h in rows:
+        ws = [b"", b"", *toxicity.words(t)]
+        for triple in zip(ws, ws[1:], ws[2:]):
+            expected[*triple, y] = expected.get((*triple, y), 0) | 1 << h
+    assert found == expected
+    assert most < 50 << 20
+
+
 def test_language_identification(docs, awkward):
     rng = random.Random(2)
     syllables = {"en": ["the", "ing", "and", "her"], "de": ["sch", "ung", "ein", "ich"], "fr": ["eau", "ais", "que", "ère"], "es": ["ción", "que", "los", "ñar"]}
