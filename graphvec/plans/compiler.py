@@ -29,6 +29,8 @@ from .syntax import (
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Aggregates that can be taken from distinct rows and the number of each.
+WEIGHED = ("count", "min", "max")
 
 
 def col(name: str) -> Column:
@@ -87,6 +89,8 @@ class Compiler:
         self.spark = graph.spark
         self.plan: list[str] = []
         self.fresh = 0
+        self.weight: str | None = None  # the column that says how many rows a row stands for
+        self.waiting: list = []  # conjuncts of WHERE that are not applied yet
         self.stats = Stats()
 
     # -- a whole query ---------------------------------------------------------------------------------------------------
@@ -96,9 +100,10 @@ class Compiler:
         self.used |= {name for x in walk(query.clauses) if isinstance(x, (NodePattern, RelPattern)) for name, _ in x.props}
         self.all_props = any(isinstance(x, Call) and x.name in ("properties", "keys") for x in walk(query.clauses))
         df, env = None, {}
-        for clause in query.clauses:
+        clauses = list(query.clauses)
+        for i, clause in enumerate(clauses):
             if isinstance(clause, Match):
-                df, env = self.optional(df, env, clause) if clause.optional else self.match(df, env, clause)
+                df, env = self.optional(df, env, clause) if clause.optional else self.match(df, env, clause, self.later(clauses, i, env))
             elif isinstance(clause, Unwind):
                 df, env = self.unwind(df, env, clause)
             elif isinstance(clause, Projection):
@@ -143,13 +148,59 @@ class Compiler:
         return df, Binding("node", var, tuple(t.label for t in found), tuple(wanted))
 
     # -- patterns --------------------------------------------------------------------------------------------------------
-    def match(self, df, env, clause: Match):
-        for pattern in clause.patterns:
-            df, env = self.path(df, env, pattern)
-        if clause.where is not None:
+    def match(self, df, env, clause: Match, later: set[str] | None = None):
+        """later: the names that what follows needs, if equal rows may be held as one with their number."""
+        if later is not None:
+            self.waiting = [clause.where] if self.compat else _conjuncts(clause.where)
+        for i, pattern in enumerate(clause.patterns):
+            df, env = self.path(df, env, pattern, None if later is None else later | _names(clause.patterns[i + 1 :]))
+        if later is not None:
+            waiting, self.waiting = self.waiting, []
+            for x in waiting:
+                df = df if x is None else self.where(df, env, x)
+        elif clause.where is not None:
             df = self.where(df, env, clause.where)
         return df, env
 
+    def later(self, clauses: list, i: int, env) -> set[str] | None:
+        """The names that are used after clause i, if the projection that ends its rows gives the same for distinct rows and
+        their numbers; else None. There, count(x) of a variable that is never null becomes count(*)."""
+        j = next((j for j in range(i + 1, len(clauses)) if not isinstance(clauses[j], (Match, Unwind))), len(clauses))
+        if j == len(clauses) or not isinstance(clauses[j], Projection):
+            return None
+        p, bound, sure = clauses[j], set(env), set()
+        for c in clauses[i:j]:
+            new = ({c.var} if isinstance(c, Unwind) else _names(c.patterns)) - bound
+            bound |= new
+            if isinstance(c, Match) and not c.optional:
+                sure |= new
+        for x in [x for x in walk((p.items, p.order)) if isinstance(x, Call) and x.name == "count" and not x.distinct and len(x.args) == 1 and isinstance(x.args[0], Var) and x.args[0].name in sure]:
+            p = _swap(p, x, replace(x, args=(Star(),)))
+        tree = (p.items, p.order)
+        calls = [x for x in walk(tree) if isinstance(x, Call) and x.name in AGGREGATE]
+        rows = [x for x in calls if x.args and isinstance(x.args[0], Star)]
+        if sum(isinstance(x, Star) for x in walk(tree)) > len(rows) or not (calls or p.distinct) or any(x.name not in WEIGHED and not x.distinct and x not in rows for x in calls):
+            return None
+        clauses[j] = p
+        return _names(clauses[i + 1 : j], tree, p.where)
+
+    def fewer(self, df, env, live: set[str]):
+        """Rows that differ only in what no name in `live` stands for become one row with their number, so that the next join
+        doesn't multiply them. Conditions that can be tested are tested before."""
+        ready = [x for x in self.waiting if x is not None and _names(x) <= set(env) and not any(isinstance(y, Exists) for y in walk(x))]
+        for x in ready:
+            df = self.where(df, env, x)
+        self.waiting = [x for x in self.waiting if not any(x is y for y in ready)]
+        live = live | _names(self.waiting)
+        kept = {v: b for v, b in env.items() if v in live}
+        keys = [c for b in kept.values() for c in b.columns()]
+        if len(kept) == len(env) or not all(_groups(df.schema[c].dataType) for c in keys):
+            return df, env
+        count, self.weight = F.sum(col(self.weight)) if self.weight else F.count(F.lit(1)), self.name()
+        self.plan.append(f"Count({', '.join(kept)})")
+        df = df.groupBy(*map(col, keys)).agg(count.alias(self.weight))
+        return df if keys else df.filter(col(self.weight) > 0), kept
+
     def where(self, df: DataFrame, env, condition) -> DataFrame:
         """Conjuncts one by one; existential ones become semi- or anti-joins."""
         if isinstance(condition, Binary) and condition.op == "AND" and not self.compat:
@@ -210,14 +261,18 @@ class Compiler:
         df = self.join_on(df, right, keys, "left") if keys else df.join(right, F.lit(True), "left")
         return df, {**env, **new}
 
-    def path(self, df, env, pattern: Pattern):
+    def path(self, df, env, pattern: Pattern, later: set[str] | None = None):
         nodes, rels = list(pattern.nodes), list(pattern.rels)
         if rels and (nodes[0].var not in env) and (nodes[-1].var in env or (df is None and _weight(nodes[-1]) > _weight(nodes[0]))):
             # start from the bound end, or from the more selective one
             nodes, rels = nodes[::-1], [replace(r, direction={"out": "in", "in": "out"}.get(r.direction, "both")) for r in rels[::-1]]
         nodes = [n if n.var else replace(n, var=self.name()) for n in nodes]
+        if later is not None and df is not None:
+            df, env = self.fewer(df, env, later | _names(nodes, rels))
         df, env = self.start(df, env, nodes[0])
         for i, rel in enumerate(rels):
+            if later is not None and i:
+                df, env = self.fewer(df, env, later | _names(nodes[i:], rels[i:]))
             df, env = self.expand(df, env, nodes[i].var, rel, nodes[i + 1])
         return df, env
 
@@ -429,6 +484,7 @@ class Compiler:
             self.plan.append(f"Limit({self.amount(p.limit)})")
             rows = rows.limit(self.amount(p.limit))
         rows = rows.select(*[col(c) for n in names for c in out[n].columns()])
+        self.weight = None
         if p.where is not None:
             rows = self.where(rows, out, p.where)
         return rows, out
@@ -577,9 +633,11 @@ class Compiler:
         name, args = x.name, x.args
         if name in AGGREGATE:
             if args and isinstance(args[0], Star):
-                return F.count(F.lit(1))
+                return F.coalesce(F.sum(col(self.weight)), F.lit(0)) if self.weight else F.count(F.lit(1))
             if len(args) != 1:
                 raise CypherError(f"{name} takes one argument")
+            if self.weight and name == "count" and not x.distinct:
+                return F.coalesce(F.sum(F.when(self.expr(df, env, args[0]).isNotNull(), col(self.weight))), F.lit(0))
             return AGGREGATE[name](self.expr(df, env, args[0]), x.distinct)
         first = args[0] if args else None
         b = env.get(first.name) if isinstance(first, Var) else None
@@ -737,6 +795,23 @@ def _weight(n: NodePattern) -> int:
     return 3 * any(k == "id" for k, _ in n.props) + 2 * bool(n.props) + bool(n.labels)
 
 
+def _names(*trees) -> set[str]:
+    """Variables that trees name, in patterns or expressions."""
+    found = [x for tree in trees for x in walk(tuple(tree) if isinstance(tree, list) else tree)]
+    return {x.name for x in found if isinstance(x, Var)} | {x.var for x in found if isinstance(x, (NodePattern, RelPattern, Unwind)) and x.var}
+
+
+def _conjuncts(x) -> list:
+    return _conjuncts(x.a) + _conjuncts(x.b) if isinstance(x, Binary) and x.op == "AND" else [x]
+
+
+def _groups(kind: T.DataType) -> bool:
+    """Whether rows can be grouped by it."""
+    if isinstance(kind, T.StructType):
+        return all(_groups(f.dataType) for f in kind)
+    return _groups(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _swap(tree, old, new):
     if tree is old:
         return new

@@ -145,3 +145,35 @@ def test_distinct_aggregates_and_whole_numbers(people):
         rows(people, "UNWIND [1, 1, 4] AS x RETURN stdev(DISTINCT x) AS a")
     assert rows(people, "RETURN toInteger('9007199254740993') AS a, toInteger('2.9') AS b, toInteger('x') AS c") == [(9007199254740993, 2, None)]
     assert rows(people, "RETURN duration('P1DT1S') AS a, duration('soon') AS b, duration('PT') AS c, time('07:05') AS t") == [(86401.0, None, None, "07:05:00.000000")]
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City), (b:Person)-[:LIVES_IN]->(c) RETURN c.name AS c, count(*) AS n ORDER BY c", [("Bonn", 16), ("Ulm", 25)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City)<-[:LIVES_IN]-(b) RETURN c.name AS c, count(a) AS n, count(b.age) AS m, count(DISTINCT b) AS d, max(b.age) AS x ORDER BY c", [("Bonn", 16, 16, 4, 27), ("Ulm", 25, 25, 5, 28)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City), (b:Person)-[:LIVES_IN]->(c) WHERE a.age > 24 AND b.age < 24 AND c.name <> 'Bonn' RETURN count(*) AS n, count(a) + count(b) AS m", [(4, 8)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City), (b:Person)-[:LIVES_IN]->(c) WHERE a.age < b.age RETURN count(*) AS n", [(16,)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City), (b:Person)-[:LIVES_IN]->(c) WHERE EXISTS((a)-[:SELF]->(a)) RETURN c.name AS c, count(*) AS n", [("Ulm", 5)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City)<-[:LIVES_IN]-(b) RETURN DISTINCT c.name AS c ORDER BY c", [("Bonn",), ("Ulm",)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City) MATCH (c)<-[:LIVES_IN]-(b) OPTIONAL MATCH (c)<-[:LIVES_IN]-(d) WHERE d.age > 27 RETURN c.name AS c, count(*) AS n, count(d) AS d ORDER BY c", [("Bonn", 16, 0), ("Ulm", 25, 25)]),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City) WITH c, count(a) AS k MATCH (c)<-[:LIVES_IN]-(b)-[:KNOWS]->(d) RETURN k, count(*) AS n ORDER BY k", [(4, 4), (5, 5)]),
+    ("MATCH (a:Person), (b:Person), (c:City) RETURN count(*) AS n", [(200,)]),
+    ("MATCH (a:Person {id: 77}), (c:City) RETURN c.name AS c, count(*) AS n", []),
+    ("MATCH (a:Person)-[:LIVES_IN]->(c:City)<-[:LIVES_IN]-(b) RETURN c.name AS c, sum(b.age) AS s, size(collect(a.age)) AS l ORDER BY c", [("Bonn", 4 * 96, 16), ("Ulm", 5 * 120, 25)]),
+    ("MATCH (p:Person) OPTIONAL MATCH (p)-[:SELF]->(q) MATCH (c:City) RETURN count(q) AS q, count(*) AS n", [(2, 20)]),
+])
+def test_counts_of_joined_patterns(people, text, wanted):
+    """What is only counted is the same, whether or not its rows are made."""
+    assert rows(people, text) == wanted
+
+
+def test_counting_makes_no_pairs(spark):
+    """300,000 x 300,000 pairs of one place are counted from the members of each side."""
+    place = spark.createDataFrame([(1, "x")], "id long, name string")
+    member = spark.range(300_000).select("id", F.lit(1).cast("long").alias("place"))
+    graph = PropertyGraph(spark).with_node(NodeTable("Place", place))
+    for label in ("A", "B"):
+        graph = graph.with_node(NodeTable(label, member)).with_edge(EdgeTable(label, "IN", "Place", member.select(F.col("id").alias("src"), F.col("place").alias("dst"))))
+    for text in ("MATCH (a:A)-[:IN]->(p:Place), (b:B)-[:IN]->(p) RETURN p.name AS p, count(*) AS n", "MATCH (a:A)-[:IN]->(p:Place)<-[:IN]-(b:B) RETURN p.name AS p, count(a) AS n"):
+        plan = graph.explain(text).splitlines()[::-1]
+        assert [s.strip() for s in plan].index("Count(p)") < max(i for i, s in enumerate(plan) if "Expand" in s)
+        assert rows(graph, text) == [("x", 300_000**2)]
