@@ -15,6 +15,8 @@ from ..model import Distance
 
 #: Queries that a batch of points is multiplied with at a time; bytes of query vectors that are broadcast for one scan.
 QUERY_BLOCK, QUERY_BYTES = 1024, 64 << 20
+#: Points that a block of queries is multiplied with at a time, and their bytes at most; numbers in which pairs are scored.
+POINT_BLOCK, POINT_BYTES, PAIR_NUMBERS = 512, 4 << 20, 1 << 19
 
 
 def knn(points: DataFrame, query: Sequence[float], k: int, metric: Distance | str = "cosine", *, where: Column | None = None, score_threshold: float | None = None, id_column: str = "id", vector_column: str = "vector", columns: Sequence[str] = ()) -> DataFrame:
@@ -46,29 +48,86 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(good), size), good
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of candidates the `most` of least score each, ties by id, best first."""
-    order = np.lexsort((ids, scores), axis=1)[:, :most]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-
-
-def _nearest(ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """As _best for one list of ids, whose scores are columns of `scores`; a partition first leaves few to sort."""
-    if len(ids) > 4 * most:
-        edge = np.partition(scores, most - 1, axis=0)[most - 1]
-        near = scores <= edge
-        if near.sum(0).max() == most:  # no ties beyond the edge
-            rows = np.nonzero(near.T)[1].reshape(-1, most)
-            return _best(ids[rows], np.take_along_axis(scores.T, rows, 1), most)
-    return _best(np.broadcast_to(ids, scores.T.shape), scores.T, most)
+class _Nearest:
+    """The `most` nearest points of each query of a block, ties by id. A matrix product says which points may be among them;
+    those are scored pair by pair, so that equal vectors have equal scores wherever they stand in a batch."""
+
+    def __init__(self, vectors: np.ndarray, most: int, metric: Distance):
+        self.vectors, self.most, self.metric = vectors, most, metric
+        self.squares = np.concatenate([(v * v).sum(1) for v in np.array_split(vectors, 8)])
+        self.edge = np.full(len(vectors), np.inf)  # score of the last of `most`
+        self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, id, score
+
+    def scores(self, x: np.ndarray, squares: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of pairs of a point and a query."""
+        out, step = np.empty(len(at)), max(1, PAIR_NUMBERS // x.shape[1])
+        for i in range(0, len(at), step):
+            a, b = at[i : i + step], q[i : i + step]
+            pairs = x[a]
+            if self.metric is Distance.EUCLID:
+                pairs -= self.vectors[b]
+                out[i : i + step] = np.sqrt((pairs * pairs).sum(1))
+                continue
+            pairs *= self.vectors[b]
+            product = pairs.sum(1)
+            if self.metric is Distance.COSINE:
+                norms = np.sqrt(squares[a] * self.squares[b])
+                out[i : i + step] = np.where(norms > 0, 1 - product / np.where(norms > 0, norms, 1), 1.0)
+            else:
+                out[i : i + step] = -product
+        return out
+
+    def near(self, x: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and places of points that may be among the nearest, by a product that is off by `slack` at most."""
+        slack, own = (x.shape[1] + 8) * 2.0**-50, self.squares
+        if self.metric is Distance.COSINE:
+            # of norms too small or too large to be multiplied every pair is scored
+            odd, strange = (~((s > 1e-140) & (s < 1e140)) for s in (squares, own))
+            close = self.vectors @ (x / np.sqrt(np.where(odd, 1, squares))[:, None]).T
+            close[:, odd] = np.inf
+            norms = np.sqrt(np.where(strange, 1, own))
+            slack, floor = slack * norms, np.where(strange, -np.inf, (1 - self.edge) * norms)
+        elif self.metric is Distance.DOT:
+            close = self.vectors @ x.T
+            slack, floor = slack * np.sqrt(squares.max() * own), -self.edge
+        else:
+            close = self.vectors @ x.T
+            close -= squares / 2
+            slack, floor = slack * (squares.max() + own), (own - self.edge * self.edge) / 2
+        may = ~(close < (floor - slack)[:, None])
+        if len(x) > self.most and np.count_nonzero(may) > 2 * self.most * len(own):
+            # the nearest of these points alone leave fewer to score
+            finite = np.where(np.isfinite(close), close, -np.inf)
+            least = np.partition(finite, len(x) - self.most, axis=1)[:, len(x) - self.most] - 2 * slack
+            if self.metric is Distance.COSINE:
+                least[strange] = -np.inf
+            may &= ~(close < least[:, None])
+        return np.nonzero(may)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        squares = (x * x).sum(1)
+        q, at = self.near(x, squares)
+        if not len(q):
+            return
+        touched = np.zeros(len(self.edge), bool)
+        touched[q] = True
+        old = touched[self.held[0]]
+        q, i, s = (np.concatenate([a[old], b]) for a, b in zip(self.held, (q, ids[at], self.scores(x, squares, at, q))))
+        order = np.lexsort((i, s, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        order, q, rank = (z[rank < self.most] for z in (order, q, rank))
+        last = rank == self.most - 1
+        self.edge[q[last]] = s[order][last]
+        self.held = tuple(np.concatenate([a[~old], b]) for a, b in zip(self.held, (q, i[order], s[order])))
 
 
 def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Distance | str = "cosine", *, where: Column | None = None, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
     """query_id, id, score, rank for each row of `queries` (query_id, vector [, limit, score_threshold]).
 
-    Points are read once for QUERY_BYTES of query vectors, which are broadcast; a task multiplies each batch of points with
-    QUERY_BLOCK queries at a time and passes on k rows for each query, so the shuffle carries k * queries rows a task, never
-    points * queries. Query ids must differ."""
+    Points are read once for QUERY_BYTES of query vectors, which are broadcast; a task multiplies POINT_BLOCK points with
+    QUERY_BLOCK queries at a time, whatever the size of a batch, and passes on k rows for each query, so the shuffle carries
+    k * queries rows a task, never points * queries. Query ids must differ."""
     metric, spark = Distance.parse(getattr(metric, "value", metric)), points.sparkSession
     rows = (points if where is None else points.filter(where)).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     extra = [c for c in ("limit", "score_threshold") if c in queries.columns]
@@ -84,17 +143,20 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: Distance |
         shared = spark.sparkContext.broadcast([(d, np.array([r["query_id"] for r in rs]), np.array([r["vector"] for r in rs])) for d, rs in blocks])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(shared.value)
+            best = [_Nearest(vectors, most, metric) for _, _, vectors in shared.value]
+            sizes = {d for d, *_ in shared.value}
+            step = max(1, min(POINT_BLOCK, POINT_BYTES // (8 * max(sizes, default=1))))
             for batch in batches:
-                found = {d: _matrix(batch.column("vector"), d) for d in {d for d, *_ in shared.value}}
-                for j, (d, _, vectors) in enumerate(shared.value):
-                    x, good = found[d]
-                    if len(good):
-                        new = _nearest(batch.column("id").to_numpy()[good], numpy_distances(x, vectors, metric), most)
-                        best[j] = new if best[j] is None else _best(*(np.hstack(z) for z in zip(best[j], new)), most)
-            for held, (_, names, _) in zip(best, shared.value):
-                if held is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, held[0].shape[1]), pa.int64()), pa.array(held[0].ravel(), pa.int64()), pa.array(held[1].ravel())], names=["query_id", "id", "score"])
+                for i in range(0, batch.num_rows, step):
+                    piece = batch.slice(i, step)
+                    found = {d: _matrix(piece.column("vector"), d) for d in sizes}
+                    for (d, *_), near in zip(shared.value, best):
+                        x, good = found[d]
+                        if len(good):
+                            near.add(piece.column("id").to_numpy()[good], x)
+            for near, (_, names, _) in zip(best, shared.value):
+                q, ids, scores = near.held
+                yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query_id", "id", "score"])
 
         found = rows.mapInArrow(run, "query_id long, id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +141,58 @@ def test_batches_of_queries_share_a_scan(spark, cloud, monkeypatch):
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in wanted] and [r[2] for r in got] == pytest.approx([r[2] for r in wanted])
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_memory_of_a_batch_is_bounded(spark, monkeypatch, tied):
+    """A task holds a few blocks of distances, not those of a whole batch, also where more points tie than are asked for."""
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(1024, 16)), rng.normal(size=(10_000, 16))
+    if tied:
+        x = np.repeat(x[:500], 20, axis=0)
+    points = spark.createDataFrame([(0, [0.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(q.tolist())], "query_id long, vector array<double>")
+    kept, plain = [], type(points).mapInArrow
+    monkeypatch.setattr(type(points), "mapInArrow", lambda self, f, *a, **o: kept.append(f) or plain(self, f, *a, **o))
+    K.knn_batch(points, asked, 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "vector"])
+    tracemalloc.start()
+    try:
+        out = list(kept[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 10 * len(q) and peak < 64 << 20
+    wanted = np.lexsort((np.arange(len(x)), K.numpy_distances(x, q[:1], K.Distance.COSINE)[:, 0].round(12)))[:10]
+    rows = out[0].to_pandas().query("query_id == 0").sort_values(["score", "id"])
+    assert rows["id"].tolist() == wanted.tolist()
+
+
+@pytest.mark.parametrize("metric", list(K.Distance))
+@pytest.mark.parametrize("order", ["mixed", "nearer", "same"])
+def test_nearest_in_pieces(metric, order):
+    """Pieces of points give what scores of all pairs give: copies, zeros, tiny and huge ones, pieces that come ever nearer."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(300, 7)), np.zeros((30, 7)), 1e-160 * rng.normal(size=(20, 7)), 1e100 * rng.normal(size=(20, 7))])
+    x = np.concatenate([x, x])[rng.permutation(740)]
+    v = np.concatenate([x[:12], np.zeros((1, 7)), 1e-160 * np.ones((1, 7)), rng.normal(size=(5, 7))])
+    if order == "nearer":
+        x = x[np.argsort(-K.numpy_distances(x, v[:1], metric)[:, 0])]
+    if order == "same":
+        x = np.repeat(x[:2], 370, axis=0)
+    ids = rng.permutation(740)
+    every = K._Nearest(v, 5, metric)
+    a, b = (z.ravel() for z in np.meshgrid(np.arange(740), np.arange(len(v))))
+    scores = every.scores(x, (x * x).sum(1), a, b).reshape(len(v), 740)
+    for most, step in ((5, 64), (5, 1), (800, 100)):
+        near = K._Nearest(v, most, metric)
+        for i in range(0, 740, step):
+            near.add(ids[i : i + step], x[i : i + step])
+        for j in range(len(v)):
+            best = np.lexsort((ids, scores[j]))[:most]
+            own = near.held[0] == j
+            mine = np.lexsort((near.held[1][own], near.held[2][own]))
+            assert near.held[1][own][mine].tolist() == ids[best].tolist() and np.array_equal(near.held[2][own][mine], scores[j][best])
+
+
 def test_kmeans_leaves_no_centre_empty():
     x = np.concatenate([np.zeros((50, 2)), np.ones((50, 2)), [[9.0, 9.0]]])
     centres = K.kmeans(x, 3)
